@@ -11,6 +11,15 @@ from .common import table
 from .fingerprints import fingerprint_edits
 from .mixing import mix_sources
 from .sharding import shard_documents
+from .url_filter import filter_urls
+
+#: Verdict and rule (host, then path) of the URL filter.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +40,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op6_sharding": op6_sharding,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
