@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from .common import table
 from .fingerprints import fingerprint_edits
 from .mixing import mix_sources
+from .packing import pack_documents
 from .sharding import shard_documents
 from .url_filter import filter_urls
 
+#: Name of a public vocabulary file, or a path.
+TOKENIZER = "byte_bpe_50k.json"
 #: Verdict and rule (host, then path) of the URL filter.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -22,6 +25,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 15 of all documents, near equal in bytes."""
     placed = shard_documents(table(spark, sf_dir, "documents"), shards=16)
@@ -41,6 +49,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_packing": op3_packing,
     "op6_sharding": op6_sharding,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
