@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .sharding import shard_documents
 from .url_filter import filter_urls
+from .warc import archive_round_trip
 
 #: Name of a public vocabulary file, or a path.
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,6 +31,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record per page, written to seekable bundles and read back."""
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 15 of all documents, near equal in bytes."""
     placed = shard_documents(table(spark, sf_dir, "documents"), shards=16)
@@ -50,9 +56,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_packing": op3_packing,
+    "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express.
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as n from pages),
+        q as (select *, case when n >= 1000 then max(page_id) over (partition by html) end as top from p)
+        select page_id, n as payload_bytes, sha1(html) as payload_digest,
+               case when top <> page_id then 'revisit' else 'response' end as record_type,
+               case when top <> page_id then top end as refers_to
+        from q""",
+}
