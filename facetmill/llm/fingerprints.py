@@ -27,6 +27,9 @@ from pyspark.sql.window import Window
 
 from .common import shuffle_partitions, text_or_empty, written
 
+#: Repeated digests up to which their table (33 bytes each) is broadcast.
+BROADCAST_DIGESTS = 500_000
+
 
 def canonical(text: Column) -> Column:
     """NFKC, full case folding, white space folded; for a non-null text."""
@@ -45,9 +48,12 @@ def collided(canon: DataFrame) -> DataFrame:
     """From (digest, canon): the digests that stand for more than one canonical text.
 
     Digests are counted first; only texts of those that occur again are dealt
-    out, and equal texts are merged before that.
+    out, and equal texts are merged before that. The repeated digests are
+    broadcast while their counted number allows it, else joined by shuffle.
     """
-    again = canon.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    again = written(canon.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "fingerprint-again")
+    if again.count() <= BROADCAST_DIGESTS:
+        again = F.broadcast(again)
     distinct = canon.join(again, "digest", "left_semi").groupBy("digest", "canon").agg(F.lit(1).alias("one"))
     return distinct.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
 
