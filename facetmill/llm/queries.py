@@ -11,6 +11,7 @@ from .common import table
 from .fingerprints import fingerprint_edits
 from .mixing import mix_sources
 from .packing import pack_documents
+from .quality import classify_quality
 from .sharding import shard_documents
 from .url_filter import filter_urls
 from .warc import archive_round_trip
@@ -42,6 +43,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that are not held out."""
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all sources, weights 3, 1, 2 repeating, half as many words again as there are, two epochs at most."""
     mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget_ratio=1.5, max_epochs=2.0)
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
+    "op7_quality": op7_quality,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
 }
