@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .fingerprints import fingerprint_edits
 from .mixing import mix_sources
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import classify_quality
 from .sharding import shard_documents
@@ -48,6 +49,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: two-word shingles, similarity 0.8."""
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all sources, weights 3, 1, 2 repeating, half as many words again as there are, two epochs at most."""
     mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget_ratio=1.5, max_epochs=2.0)
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
+    "op8_minhash": op8_minhash,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
 }
