@@ -14,6 +14,7 @@ from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import classify_quality
 from .sharding import shard_documents
+from .topk import exact_top_k
 from .url_filter import filter_urls
 from .warc import archive_round_trip
 
@@ -33,6 +34,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048)
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, factor=256)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A WARC record per page, written to seekable bundles and read back."""
     return archive_round_trip(table(spark, sf_dir, "pages"))
@@ -68,6 +74,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_packing": op3_packing,
+    "op4_top_k": op4_top_k,
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
@@ -78,6 +85,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op4_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e
+            from embeddings
+            where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+        ),
+        s as (
+            select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+        ),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5""",
     "op5_warc": """
         with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as n from pages),
         q as (select *, case when n >= 1000 then max(page_id) over (partition by html) end as top from p)
@@ -85,4 +104,22 @@ ORACLE_SQL: dict[str, str] = {
                case when top <> page_id then 'revisit' else 'response' end as record_type,
                case when top <> page_id then top end as refers_to
         from q""",
+    "op8_minhash": r"""
+        with recursive d as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+            from documents
+        ),
+        s as (
+            select distinct doc_id, s from (
+                select doc_id, unnest(case when len(w) < 2 then w else list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) end) as s from d
+            )
+        ),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+        l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+        e as (select x, y from l union all select y, x from l),
+        r as (select doc_id as x, doc_id as y from d union select r.x, e.y from r join e on r.y = e.x),
+        m as (select x, min(y) as component_id from r group by x)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, d.doc_id = m.component_id as kept
+        from d join m on m.x = d.doc_id left join n on n.doc_id = d.doc_id""",
 }
