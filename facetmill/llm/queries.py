@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .extraction import extract_pages
 from .fingerprints import fingerprint_edits
 from .mixing import mix_sources
 from .neardup import near_duplicates
@@ -29,6 +30,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048)
@@ -73,6 +79,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_extraction": op2_extraction,
     "op3_packing": op3_packing,
     "op4_top_k": op4_top_k,
     "op5_warc": op5_warc,
@@ -85,6 +92,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    # The tables' pages mark their article, and hold four kinds of character references.
+    "op2_extraction": r"""
+        with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) as t from pages),
+        b as (select page_id, url, regexp_replace(regexp_replace(t, '<br>|</?(p|h1)>', ' ', 'g'), '<[^>]*>', '', 'g') as t from a),
+        c as (select page_id, url, replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', chr(1)), '&amp', chr(1)), chr(1), '&') as t from b),
+        d as (select page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) as text from c)
+        select page_id, url, text, length(text) as n_chars from d""",
     "op4_top_k": """
         with v as (
             select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e
