@@ -101,12 +101,12 @@ ORACLE_SQL: dict[str, str] = {
         select page_id, url, text, length(text) as n_chars from d""",
     "op4_top_k": """
         with v as (
-            select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
             from embeddings
-            where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+            where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ),
         s as (
-            select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+            select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
             from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
         ),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
@@ -125,7 +125,7 @@ ORACLE_SQL: dict[str, str] = {
         ),
         s as (
             select distinct doc_id, s from (
-                select doc_id, unnest(case when len(w) < 2 then w else list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) end) as s from d
+                select doc_id, unnest(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from d
             )
         ),
         n as (select doc_id, count(*) as n from s group by doc_id),
