@@ -11,7 +11,7 @@ from ..operators.selection import Family, model_table, nested_scores, refit_best
 from ..operators.splits import SEED, stratified_holdout
 
 
-def compare_models(df: DataFrame, families: Sequence[Family], k_outer: int = 5, k_inner: int = 3, seed: int = SEED) -> tuple[DataFrame, DataFrame, str, dict]:
+def compare_families(df: DataFrame, families: Sequence[Family], k_outer: int = 5, k_inner: int = 3, seed: int = SEED) -> tuple[DataFrame, DataFrame, str, dict]:
     """The table of models, the holdout accuracy of the best one, its name and setting."""
     parts = stratified_holdout(df, seed=seed).persist()
     try:

@@ -1,0 +1 @@
+"""Structured Streaming uses of the batch operators."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facetmill.jobs.compare import compare_models
+from facetmill.jobs.compare import compare_families
 from facetmill.operators import features as feat
 from facetmill.operators import kmeans, knn, selection, softmax, svm
 from facetmill.operators.metrics import accuracy
@@ -157,9 +157,9 @@ def test_large_pairs(separable):
     assert len(svm.fit_large_pair(rows, 0, 1, 1.0, gamma=0.1)[0]) == svm.RANDOM_FEATURES
 
 
-def test_compare_models(separable):
+def test_compare_families(separable):
     families = [selection.KNNFamily([{"k": 3, "p": 2}]), selection.SVMFamily([{"kernel": "linear", "c": 1.0}])]
-    table, score, name, setting = compare_models(separable, families, 3, 2)
+    table, score, name, setting = compare_families(separable, families, 3, 2)
     got = table.collect()
     assert {r.model for r in got} == {"knn", "svm"} and sum(r.is_best for r in got) == 1
     assert score.first().accuracy == 1.0 and name in ("knn", "svm") and setting
