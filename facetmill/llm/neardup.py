@@ -1,4 +1,4 @@
-"""Near-duplicate documents: MinHash with tensored banding, every link verified.
+"""Near-duplicate documents: MinHash with tensored banding, links verified on full sets.
 
 A document's set of word shingles is sketched by two collections of ``SIDE``
 small keys, each made of ``WIDTH`` minhashes. A table key combines one small
@@ -10,15 +10,21 @@ with a probability below 1 in 10,000; above that, it falls quickly.
 2. Classes are dealt out by the small keys of the first collection, with those
    of the second as payload; a key that nobody shares ends there. Inside a
    shared key the second collection gives the buckets.
-3. In every bucket the members are compared with its smallest member only: a
-   bucket of n costs n - 1 pairs. What looks similar by its sketch is verified
-   on the full sets, and the links' components are found.
-4. Buckets whose members are still in different components get the pairs
-   between those components, so no pair of a bucket stays undecided unless it
-   is linked already. These are verified likewise.
-
-Full sets are made again from the texts for the documents of candidate pairs
-only, and meet in equality joins on one document's id, which Spark can split.
+3. Every class is put into the canopy of a center: the smallest member of one
+   of its buckets with which its sketch agrees often enough, else itself. Where
+   a bucket holds classes of several canopies, those of the larger center also
+   join the canopy of the smaller, if their sketch allows a link to one of its
+   classes: if x is in the canopy of p, y agrees with p on no fewer minhashes
+   than x does, less those on which x and y differ. So the members of every
+   pair that shares a bucket and could be linked meet in a canopy, and a bucket
+   of n similar classes costs about n rows, not n * n.
+4. Members are verified against their center on full sets, and the components
+   of these links are found. Canopies that are one component are done.
+5. In the others, members outside the center's component are compared with all
+   others, in blocks of at most ``BLOCK`` members, by products of incidence
+   matrices. A block returns a spanning forest of its links, not all of them.
+
+Full sets are made again from the texts for the documents that need them only.
 
 Defined results: null and empty texts, and texts without words, have an empty
 set and are linked with nothing; repeated rows each get their row; a row
@@ -33,6 +39,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +50,15 @@ from .components import connected_components
 from .shingles import mixed, shingle_sets
 
 WIDTH, SIDE = 3, 14
-#: Minhashes kept for the first comparison of a pair, and how many must agree; at a similarity of 0.8 fewer agree once in 10^9.
-PROBE, AGREE = 64, 32
+#: Minhashes of a sketch, all that are made. At a similarity of 0.8 a pair differs on more than SLACK of them about 5 times in a million.
+PROBE = 2 * SIDE * WIDTH
+SLACK = 33
+#: Minhashes that must agree with a center to be of its canopy.
+TIGHT = 42
+#: Members of a block; two blocks meet in a task.
+BLOCK = 2048
+#: Columns of an incidence matrix at once.
+COLUMNS = 2048
 #: Nodes up to which the table of those whose texts are read again is broadcast (8 bytes each).
 BROADCAST_NODES = 1_000_000
 _MULTIPLIERS, _OFFSETS = (mixed(np.arange(lo, lo + 2 * SIDE * WIDTH, dtype=np.uint64)) for lo in (1, 1001))
@@ -93,29 +107,51 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
-    """(bucket, node, n, pivot, members) for every membership of a bucket with at least two members."""
+    """(bucket, node, pivot) for every membership of a bucket with at least two members; buckets with the same members are one."""
     by_a = Window.partitionBy("ka")
-    rows = classes.select("node", "n", F.col("b"), F.explode("a").alias("ka"))
+    rows = classes.select("node", F.col("b"), F.explode("a").alias("ka"))
     shared = rows.withColumn("sharing", F.count("*").over(by_a)).where("sharing > 1")
-    cells = shared.select("node", "n", "ka", F.posexplode("b").alias("j", "kb"))
+    cells = shared.select("node", "ka", F.posexplode("b").alias("j", "kb"))
     in_bucket = Window.partitionBy("ka", "j", "kb")
-    found = cells.withColumn("pivot", F.min("node").over(in_bucket)).withColumn("members", F.count("*").over(in_bucket)).where("members > 1")
-    return found.select(F.xxhash64("ka", "j", "kb").alias("bucket"), "node", "n", "pivot", "members")
+    found = cells.withColumn("pivot", F.min("node").over(in_bucket)).withColumn("members", F.count("*").over(in_bucket)).withColumn("who", F.bit_xor(F.xxhash64("node")).over(in_bucket))
+    return found.where("members > 1").select(F.xxhash64("who", "members", "pivot").alias("bucket"), "node", "pivot").distinct()
 
 
-def similar_by_sketch(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose sizes allow a link and whose probes agree often enough."""
+def agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Adds agree, the number of equal minhashes, to pairs (x, y)."""
 
-    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, PROBE) for c in ("px", "py"))
-                keep = pa.array((p == q).sum(axis=1) >= AGREE)
-                yield batch.select(["x", "y"]).filter(keep)
+                yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array((p == q).sum(axis=1).astype(np.int32))], names=["x", "y", "agree"])
+
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("probe").alias(f"p{c}"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "px", "py").mapInArrow(count, "x bigint, y bigint, agree int")
+
 
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("probe").alias(f"p{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    return both.select("x", "y", "px", "py").mapInArrow(agreeing, "x bigint, y bigint")
+def canopies(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(center, node, agree): the canopy of every class that shares a bucket, and those that it joins besides."""
+    nearest = lambda found: found.where(F.col("agree") >= TIGHT).groupBy(F.col("x").alias("node")).agg(F.min_by(F.struct(F.col("y").alias("center"), "agree"), "y").alias("own"))
+    star = buckets.where("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
+    first = written(nearest(agreement(star, classes)).select("node", "own.center"), "neardup-centers")
+    # A second try, with the smallest center that a member of one of its buckets has.
+    held = buckets.join(first, "node", "left").select("bucket", "node", F.coalesce("center", "node").alias("center"))
+    least = held.groupBy("bucket").agg(F.min("center").alias("least"), F.max("center").alias("most")).where("least < most")
+    second = held.join(least, "bucket").where("least < center and least <> node").select(F.col("node").alias("x"), F.col("least").alias("y"))
+    again = agreement(second.unionByName(first.select(F.col("node").alias("x"), F.col("center").alias("y"))).distinct(), classes)
+    tight = nearest(again).select("node", "own.*")
+    everyone = buckets.select("node").distinct()
+    own = written(everyone.join(tight, "node", "left").select(F.coalesce("center", "node").alias("center"), "node", F.coalesce("agree", F.lit(PROBE)).alias("agree")), "neardup-own")
+
+    held = buckets.join(own.select("node", "center"), "node").select("bucket", "node", "center")
+    mixed_ = held.groupBy("bucket").agg(F.min("center").alias("low"), F.max("center").alias("high")).where("low < high").select("bucket")
+    open_ = held.join(mixed_, "bucket", "left_semi")
+    smaller = open_.select("bucket", F.col("center").alias("y")).distinct()
+    meeting = open_.join(smaller, "bucket").where("y < center and y <> node").select(F.col("node").alias("x"), "y").distinct()
+    floor = own.groupBy(F.col("center").alias("y")).agg(F.min("agree").alias("floor"))
+    joined = agreement(meeting, classes).join(floor, "y").where(F.col("agree") >= F.col("floor") - SLACK).select(F.col("y").alias("center"), F.col("x").alias("node"), "agree")
+    return own.unionByName(joined)
 
 
 def stand_in() -> Column:
@@ -156,19 +192,64 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     full = written(full_sets(docs, pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), k), "neardup-sets")
     side = lambda c: full.select(F.col("node").alias(c), F.col("full").alias(f"f{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    sized = lambda c: F.octet_length(f"f{c}")
+    fits = 100 * F.least(sized("x"), sized("y")) >= percent * F.greatest(sized("x"), sized("y"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").where(fits)
     return both.select("x", "y", "fx", "fy").mapInArrow(linked, "x bigint, y bigint").withColumnsRenamed({"x": "u", "y": "v"})
 
 
-def open_pairs(buckets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of a bucket's members that are in different components."""
-    own = buckets.where("members > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by_bucket = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.count("*").alias("size"))
-    # Buckets with the same members give the same pairs: one of them is enough.
-    mixed_ = by_bucket.where("low < high").groupBy("who", "size").agg(F.min("bucket").alias("bucket")).select("bucket")
-    left = own.join(mixed_, "bucket", "left_semi").select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    right = left.select("bucket", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("rx").alias("ry"))
-    return left.join(right, "bucket").where(f"x > y and rx <> ry and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)").select("x", "y").distinct()
+def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) that connect whatever pairs of sets reaching the similarity connect."""
+    size = np.array([len(s) for s in sets])
+    values, place, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = seen[place] > 1  # what one set alone has is in no intersection
+    number = np.cumsum(seen > 1) - 1
+    row, column = row[shared], number[place[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for low in range(0, int((seen > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    linked = np.zeros(both.shape, dtype=bool)
+    for at in range(0, len(sets), 256):
+        common = both[at : at + 256].astype(np.int64)
+        linked[at : at + 256] = 100 * common >= percent * (size[at : at + 256, None] + size[None, :] - common)
+    out, left = [], np.ones(len(sets), dtype=bool)
+    for i in range(len(sets)):
+        stack = [i] if left[i] else []
+        left[i] = False
+        while stack:
+            u = stack.pop()
+            near = np.flatnonzero(linked[u] & left)
+            left[near] = False
+            out += [(u, int(v)) for v in near]
+            stack += near.tolist()
+    return out
+
+
+def block_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) inside canopies of (center, node, outside): of members outside the center's component with all others."""
+    sizes = members.groupBy("center").agg(F.ceil(F.sum(F.col("outside").cast("int")) / BLOCK).alias("n_out"), F.ceil(F.sum((~F.col("outside")).cast("int")) / BLOCK).alias("n_in"))
+    rows = members.join(sizes, "center").withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("n_out")).otherwise(F.col("n_in"))))
+    upto = lambda n: F.filter(F.sequence(F.lit(0).cast("long"), n), lambda b: b < n)
+    cell = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    at = F.col("at")
+    outside = F.concat(F.transform(upto(F.col("n_out")), lambda b: cell("out", F.least(at, b), F.greatest(at, b))), F.transform(upto(F.col("n_in")), lambda b: cell("in", at, b)))
+    inside = F.transform(upto(F.col("n_out")), lambda a: cell("in", a, at))
+    placed = rows.withColumn("cell", F.explode(F.when(F.col("outside"), outside).otherwise(inside))).select("center", "cell.*", "node")
+    full = written(full_sets(docs, members.select("node").distinct(), k), "neardup-sets")
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node", kind="stable")
+        nodes = group["node"].to_numpy()
+        found = forest([np.frombuffer(f, dtype=np.uint64) for f in group["full"]], percent)
+        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in found], columns=["u", "v"])
+
+    return placed.join(full, "node").groupBy("center", "kind", "a", "b").applyInPandas(links, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -182,13 +263,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     classes = written(classes, "neardup-classes")
     buckets = written(bucket_rows(classes), "neardup-buckets")
-    star = buckets.where("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
-
-    links = written(verified(written(similar_by_sketch(star, classes, percent), "neardup-pairs"), docs, k, percent), "neardup-links")
+    members = written(canopies(buckets, classes), "neardup-canopies")
+    near = members.where("node <> center").where(F.col("agree") >= PROBE - SLACK).select(F.col("node").alias("x"), F.col("center").alias("y"))
+    links = written(verified(written(near, "neardup-pairs"), docs, k, percent), "neardup-links")
     roots = connected_components(links)
-    more = written(similar_by_sketch(open_pairs(buckets, roots, percent), classes, percent), "neardup-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, docs, k, percent))
+    rooted = members.join(roots, "node", "left").select("center", "node", F.coalesce("root", "node").alias("root"))
+    flagged = rooted.join(roots.select(F.col("node").alias("center"), F.col("root").alias("main")), "center", "left").withColumn("outside", F.col("root") != F.coalesce("main", "center"))
+    unsettled = flagged.groupBy("center").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("center")
+    rest = written(flagged.join(unsettled, "center", "left_semi").select("center", "node", "outside").distinct(), "neardup-rest")
+    if not rest.isEmpty():
+        links = written(links.unionByName(block_links(rest, docs, k, percent)), "neardup-links")
         roots = connected_components(links)
     named = roots.join(classes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = roots.join(named, "root").select("node", "component_id")

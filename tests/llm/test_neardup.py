@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from facetmill.llm.components import connected_components
-from facetmill.llm.neardup import drop_near_duplicates, minhashes, near_duplicates, small_keys
+from facetmill.llm.neardup import drop_near_duplicates, forest, minhashes, near_duplicates, small_keys
 from facetmill.llm.shingles import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,6 +82,52 @@ def test_equals_brute_force(spark, k):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == want
 
 
+def test_blocks_of_a_large_canopy(spark, monkeypatch):
+    """Copies of one text that are near to it, but hardly to each other, in blocks of a few."""
+    import facetmill.llm.neardup as nd
+
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.randrange(3, 9)):
+            copy[rng.randrange(150)] = word()
+        rows.append((i, " ".join(copy)))
+    rows.append((400, " ".join(base)))
+    sets, component = brute_components(rows[:-1], 2)
+    assert 1 < len(set(component)) < 150
+    for part in (rows[:-1], rows):
+        sets, component = brute_components(part, 2)
+        got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(part, "doc_id long, text string"), 2).collect()}
+        assert got == {i: c for (i, _), c in zip(part, component, strict=True)}
+
+
+def test_forest_connects_what_links_connect():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(300) > x], rng.integers(0, 2**63, 10, dtype=np.uint64)])) for x in rng.uniform(0.05, 0.2, 60)]
+    want, got = list(range(60)), list(range(60))
+
+    def find(root, i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(60):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                want[find(want, i)] = find(want, j)
+    links = forest(sets, 80)
+    for i, j in links:
+        got[find(got, i)] = find(got, j)
+    same = lambda root: {frozenset(j for j in range(60) if find(root, j) == find(root, i)) for i in range(60)}
+    assert same(got) == same(want) and len(links) == 60 - len(same(want)) and 1 < len(same(want)) < 60
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).count() == 0
