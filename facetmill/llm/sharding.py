@@ -4,8 +4,8 @@ Documents with equal texts are one atomic group and stay together. Groups lie
 in the order of a hash of their text, in cells of whole groups; the cells'
 sizes, at most ``cells`` numbers whatever the corpus, are the ordered atomic
 sizes. The smallest shard capacity with which a greedy sweep needs no more
-than the given number of shards is found by binary search, and the sweep at
-that capacity gives the cuts.
+than the given number of shards is found by binary search; the cuts are made
+within that capacity, as near to equal shares as it allows.
 
 A document's shard then follows from its hash and the cuts. Slots are counted
 within the cells; a cell with many rows (a large group of copies) is counted
@@ -52,7 +52,28 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> list[int]:
             high = mid
         else:
             low = mid + 1
-    return _cuts_at(prefix, low)[:-1] if total else []
+    return _even_cuts(prefix, low, shards) if total else []
+
+
+def _even_cuts(prefix: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """Of all cuts within the capacity, those nearest to equal shares.
+
+    The greedy sweep from the end gives the earliest place of each cut, that
+    from the cut before the latest.
+    """
+    n, earliest = len(prefix) - 1, [len(prefix) - 1]
+    for _ in range(shards - 1):
+        earliest.append(int(np.searchsorted(prefix, prefix[earliest[-1]] - capacity, side="left")))
+    earliest = earliest[:0:-1]
+    cuts, at = [], 0
+    for i in range(1, shards):
+        share = prefix[-1] * i / shards
+        near = int(np.searchsorted(prefix, share))
+        near -= near > 0 and share - prefix[near - 1] < prefix[min(near, n)] - share
+        latest = int(np.searchsorted(prefix, prefix[at] + capacity, side="right")) - 1
+        at = min(max(near, earliest[i - 1], at), latest)
+        cuts.append(at)
+    return cuts
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, cells: int = CELLS) -> DataFrame:

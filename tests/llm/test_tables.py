@@ -106,7 +106,10 @@ def test_minimax_is_optimal():
         best = [[0] + [10**9] * len(sizes)]
         for _ in range(k):
             best.append([min(max(best[-1][j], sum(sizes[j:i])) for j in range(i + 1)) for i in range(len(sizes) + 1)])
-        assert len(loads) <= k and max(loads) == best[k][-1]
+        assert len(loads) == k and max(loads) == best[k][-1] and cuts == sorted(cuts)
+    even = minimax_cuts(np.array([7] * 1000 + [9] * 600), 16)
+    loads = [sum(([7] * 1000 + [9] * 600)[a:b]) for a, b in zip([0, *even], [*even, 1600], strict=True)]
+    assert max(loads) - min(loads) <= 9
 
 
 def brute_targets(sizes, weights, ratio, epochs):
