@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import written
-from .components import connected_components
+from .components import connected_components, extended_components
 from .shingles import mixed, shingle_sets
 
 WIDTH, SIDE = 3, 14
@@ -55,6 +55,8 @@ PROBE = 2 * SIDE * WIDTH
 SLACK = 33
 #: Minhashes that must agree with a center to be of its canopy.
 TIGHT = 42
+#: Rows that share a small key above which the key is dealt with apart.
+HOT_ROWS = 200_000
 #: Members of a block; two blocks meet in a task.
 BLOCK = 2048
 #: Columns of an incidence matrix at once.
@@ -82,12 +84,18 @@ def small_keys(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[:, 0], key[:, 1]
 
 
+def _portions(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set_key (a digest of the set), a and b (small keys), probe (minhashes for comparison)."""
     names = ["doc_id", "n_shingles", "set_key", "a", "b", "probe"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), k)
             least = np.stack([minhashes(s) for s in sets]) if sets else np.zeros((0, len(_MULTIPLIERS)), np.uint64)
             a, b = small_keys(least)
@@ -107,14 +115,28 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
-    """(bucket, node, pivot) for every membership of a bucket with at least two members; buckets with the same members are one."""
-    by_a = Window.partitionBy("ka")
+    """(bucket, node, pivot) for every membership of a bucket with at least two members; buckets with the same members are one.
+
+    Small keys with very many rows are counted first. Their rows are not dealt
+    out by that key: buckets are summed up before the shuffle, and joined to
+    their members in a join whose large keys Spark splits.
+    """
     rows = classes.select("node", F.col("b"), F.explode("a").alias("ka"))
-    shared = rows.withColumn("sharing", F.count("*").over(by_a)).where("sharing > 1")
-    cells = shared.select("node", "ka", F.posexplode("b").alias("j", "kb"))
-    in_bucket = Window.partitionBy("ka", "j", "kb")
-    found = cells.withColumn("pivot", F.min("node").over(in_bucket)).withColumn("members", F.count("*").over(in_bucket)).withColumn("who", F.bit_xor(F.xxhash64("node")).over(in_bucket))
-    return found.where("members > 1").select(F.xxhash64("who", "members", "pivot").alias("bucket"), "node", "pivot").distinct()
+    hot = written(rows.groupBy("ka").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("ka"), "neardup-hot")
+    split = not hot.isEmpty()
+    cells_of = lambda df: df.select("node", "ka", F.posexplode("b").alias("j", "kb"))
+    keys = ["ka", "j", "kb"]
+    kept = lambda df: df.where("members > 1").select(F.xxhash64("who", "members", "pivot").alias("bucket"), "node", "pivot")
+    stats = {"pivot": F.min("node"), "members": F.count("*"), "who": F.bit_xor(F.xxhash64("node"))}
+
+    cold = rows.join(hot, "ka", "left_anti") if split else rows
+    shared = cold.withColumn("sharing", F.count("*").over(Window.partitionBy("ka"))).where("sharing > 1")
+    in_bucket = Window.partitionBy(*keys)
+    found = kept(cells_of(shared).withColumns({c: f.over(in_bucket) for c, f in stats.items()}))
+    if split:
+        cells = cells_of(rows.join(hot, "ka", "left_semi"))
+        found = found.unionByName(kept(cells.join(cells.groupBy(*keys).agg(*[f.alias(c) for c, f in stats.items()]), keys)))
+    return found.distinct()
 
 
 def agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -145,10 +167,12 @@ def canopies(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     own = written(everyone.join(tight, "node", "left").select(F.coalesce("center", "node").alias("center"), "node", F.coalesce("agree", F.lit(PROBE)).alias("agree")), "neardup-own")
 
     held = buckets.join(own.select("node", "center"), "node").select("bucket", "node", "center")
-    mixed_ = held.groupBy("bucket").agg(F.min("center").alias("low"), F.max("center").alias("high")).where("low < high").select("bucket")
-    open_ = held.join(mixed_, "bucket", "left_semi")
-    smaller = open_.select("bucket", F.col("center").alias("y")).distinct()
-    meeting = open_.join(smaller, "bucket").where("y < center and y <> node").select(F.col("node").alias("x"), "y").distinct()
+    # Of a bucket's many members with the same center, one row is left here.
+    cells = held.groupBy("bucket", "center").agg(F.lit(1).alias("one"))
+    mixed_ = cells.groupBy("bucket").agg(F.min("center").alias("low"), F.max("center").alias("high")).where("low < high").select(F.col("bucket").alias("mixed"), "low")
+    smaller = cells.join(mixed_, F.col("bucket") == F.col("mixed")).select("bucket", F.col("center").alias("y"))
+    late = held.join(mixed_, (F.col("bucket") == F.col("mixed")) & (F.col("center") > F.col("low"))).select("bucket", "node", "center")
+    meeting = late.join(smaller, "bucket").where("y < center and y <> node").select(F.col("node").alias("x"), "y").distinct()
     floor = own.groupBy(F.col("center").alias("y")).agg(F.min("agree").alias("floor"))
     joined = agreement(meeting, classes).join(floor, "y").where(F.col("agree") >= F.col("floor") - SLACK).select(F.col("y").alias("center"), F.col("x").alias("node"), "agree")
     return own.unionByName(joined)
@@ -163,7 +187,7 @@ def full_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     """(node, full): the whole shingle sets of the needed nodes, from the documents' texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             found = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), k)]
             keys = [hashlib.blake2b(s, digest_size=16).digest() for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["node", "set_key", "full"])
@@ -272,8 +296,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     unsettled = flagged.groupBy("center").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("center")
     rest = written(flagged.join(unsettled, "center", "left_semi").select("center", "node", "outside").distinct(), "neardup-rest")
     if not rest.isEmpty():
-        links = written(links.unionByName(block_links(rest, docs, k, percent)), "neardup-links")
-        roots = connected_components(links)
+        more = written(block_links(rest, docs, k, percent), "neardup-links")
+        roots = extended_components(roots, more)
     named = roots.join(classes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = roots.join(named, "root").select("node", "component_id")
     of_class = classes.join(by_node, "node", "left").select("set_key", F.coalesce("component_id", "least").alias("component_id"))

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from facetmill.llm.components import connected_components
+from facetmill.llm.components import connected_components, extended_components
 from facetmill.llm.neardup import drop_near_duplicates, forest, minhashes, near_duplicates, small_keys
 from facetmill.llm.shingles import shingle_sets
 
@@ -105,6 +105,17 @@ def test_blocks_of_a_large_canopy(spark, monkeypatch):
         assert got == {i: c for (i, _), c in zip(part, component, strict=True)}
 
 
+def test_hot_keys_give_the_same_buckets(spark, monkeypatch):
+    import facetmill.llm.neardup as nd
+
+    rows = [r for r in enumerate(corpus(random.Random(6), 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = nd.signatures(docs, 2).withColumnRenamed("doc_id", "node").persist()
+    whole = sorted(nd.bucket_rows(classes).collect())
+    monkeypatch.setattr(nd, "HOT_ROWS", 3)
+    assert sorted(nd.bucket_rows(classes).collect()) == whole
+
+
 def test_forest_connects_what_links_connect():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
@@ -173,3 +184,6 @@ def test_components(spark):
             root[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {i: find(i) for i in root}
+    half = len(links) // 2
+    first = connected_components(spark.createDataFrame(links[:half], "u long, v long"))
+    assert {r.node: r.root for r in extended_components(first, spark.createDataFrame(links[half:], "u long, v long")).collect()} == got
