@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
 from .crf import Chain, train
 from .dom import Block, Paths, leaf_blocks
 
@@ -195,7 +196,7 @@ def _pieces(features: list[list[str]], labels: list[int]) -> list[tuple[list[lis
 
 def fit_extractor(pages: DataFrame, max_pages: int = MAX_PAGES, composed: int = COMPOSED) -> Chain:
     """Trains on composed pages and on at most ``max_pages`` pages whose mark-up states the article."""
-    sample = pages.where(F.length("html") <= FIT_CHARS).select("html", F.xxhash64("page_id", "url").alias("place")).orderBy("place", "html").limit(max_pages)
+    sample = hash_sample(pages.where(F.length("html") <= FIT_CHARS).select("html", F.xxhash64("page_id", "url").alias("place")), "place", max_pages, pages.count())
     chains = [p for c in composed_chains(composed) for p in _pieces(*c)]
     for row in sample.collect():  # at most max_pages pages of FIT_CHARS characters
         paths = Paths()

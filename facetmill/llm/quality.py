@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import hash_sample
+
 RANK, NEIGHBOURS, MAX_LABELLED = 48, 15, 8192
 THRESHOLD = 0.3
 
@@ -121,7 +123,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary())], names=["quality", "terms"])
 
     known = docs.where("doc_id is not null").select("doc_id", "text", order.alias("place"))
-    chosen = known.select("doc_id", "place").join(marks, "doc_id").orderBy("place", "doc_id", "quality").limit(max_labelled)
+    chosen = hash_sample(known.select("doc_id", "place").join(marks, "doc_id"), "place", max_labelled, marks.count())
     texts = known.join(chosen, ["doc_id", "place"]).orderBy("place", "doc_id", "quality").select("quality", "text")
     rows = texts.mapInArrow(vectors, "quality int, terms binary").toArrow()  # at most max_labelled vectors of N_TERMS numbers
     terms = np.frombuffer(b"".join(rows.column("terms").to_pylist()), dtype=np.float32).reshape(-1, N_TERMS)
