@@ -8,9 +8,11 @@ sample of them.
 
 The water level is found on the table of sources. The sample needs no sort of
 a source: its documents fall into hash buckets, whole buckets are taken in
-order until one would exceed the quota, and only that bucket is looked at
-document by document (taken in seeded order if it still fits). A source with
-a third of all rows is thus spread over up to 4096 buckets.
+order until one would exceed the quota, and that bucket is looked at document
+by document (taken in seeded order if it still fits). With the room left this
+is repeated on the later buckets' documents that still fit, until there are
+none: the result is that of trying every document in order. A source with a
+third of all rows is thus spread over up to 4096 buckets.
 
 Defined results: a null text has no words; a null source is a source of its
 own, last in order; rows with equal id and text are taken or left together;
@@ -33,6 +35,8 @@ from .common import n_words, written
 BROADCAST_SOURCES = 100_000
 MAX_BUCKETS = 4096
 ROWS_PER_BUCKET = 512
+#: Rows of a source that a round looks at one by one (its first edge bucket in any case).
+EDGE_ROWS = 16_384
 
 
 def water_fill(sources: DataFrame, weights: Sequence[float], budget_ratio: float, max_epochs: float) -> DataFrame:
@@ -69,17 +73,48 @@ def _bucket() -> Column:
 
 
 def _first_fit(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["mix_key"], kind="stable")
-    room, taken = float(group["room"].iloc[0]), []
+    group = group.sort_values(["bucket", "mix_key"], kind="stable")
+    room, taken = float(group["left"].iloc[0]), []
     for size in group["size"].tolist():
         fits = size <= room
         room -= size * fits
         taken.append(fits)
-    return group.loc[taken, ["source", "mix_key"]]
+    return group.loc[taken, ["source", "mix_key", "size"]]
+
+
+def _round(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round from the sources' (after, room): the buckets (low to high) to be looked at by document, with the room left there; and the keys taken of them.
+
+    Only documents of buckets behind ``after`` that fit into the room count.
+    Those in buckets before ``low`` are all taken; without such an edge, low
+    and high lie behind the last bucket. Sources without such documents are left out.
+    """
+    in_order = Window.partitionBy("source").orderBy("bucket")
+    buckets = (
+        with_source(rows, state)
+        .withColumn("bucket", _bucket())
+        .where((F.col("bucket") > F.col("after")) & (F.col("size") <= F.col("room")))
+        .groupBy("source", "n_buckets", "after", "room", "bucket")
+        .agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        .withColumn("cum", F.sum("size").over(in_order))
+        .withColumn("over", F.when(F.col("cum") > F.col("room"), F.col("n")))
+        .withColumn("n_over", F.sum("over").over(in_order))
+    )
+    edge = F.when((F.col("n_over") == F.col("n")) | (F.col("n_over") <= EDGE_ROWS), F.col("bucket"))
+    steps = written(
+        buckets.groupBy("source", "n_buckets", "after", "room")
+        .agg(F.min(edge).alias("low"), F.max(edge).alias("high"), F.min_by(F.col("room") - F.col("cum") + F.col("size"), F.when(edge.isNotNull(), F.col("bucket"))).alias("left"))
+        .withColumns({"low": F.coalesce("low", "n_buckets"), "high": F.coalesce("high", "n_buckets")}),
+        "mix-steps",
+    )
+    at_edge = with_source(rows, steps.where("low < n_buckets")).withColumn("bucket", _bucket()).where(F.col("bucket").between(F.col("low"), F.col("high")) & (F.col("size") <= F.col("room")))
+    keys = at_edge.groupBy("source", "bucket", "mix_key").agg(F.sum("size").alias("size"), F.max("left").alias("left"))
+    schema = rows.select("source", "mix_key", "size").schema
+    return steps, written(keys.groupBy("source").applyInPandas(_first_fit, schema), "mix-edge")
 
 
 def plan_mix(rows: DataFrame, weights: Sequence[float], budget_ratio: float, max_epochs: float) -> tuple[DataFrame, DataFrame]:
-    """From (source, size, mix_key) rows: the sources with their targets, repetitions and edge bucket; and the keys taken of the edge buckets."""
+    """From (source, size, mix_key) rows: the sources with their targets, repetitions and rounds; and the keys taken of the edge buckets."""
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = (
         water_fill(sources, weights, budget_ratio, max_epochs)
@@ -89,22 +124,22 @@ def plan_mix(rows: DataFrame, weights: Sequence[float], budget_ratio: float, max
         .drop("n")
     )
     sources = written(sources, "mix-sources")
-    in_order = Window.partitionBy("source").orderBy("bucket")
-    buckets = (
-        with_source(rows, sources)
-        .groupBy("source", "quota", _bucket().alias("bucket"))
-        .agg(F.sum("size").alias("size"))
-        .withColumn("cum", F.sum("size").over(in_order))
-    )
-    edges = buckets.where("cum > quota").groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("quota") - F.col("cum") + F.col("size")).alias("room")), "bucket").alias("edge"))
-    sources = written(
-        sources.alias("s").join(edges.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left").select("s.*", F.coalesce("e.edge.bucket", "s.n_buckets").alias("edge"), "e.edge.room"),
-        "mix-targets",
-    )
-    at_edge = with_source(rows, sources).where(_bucket() == F.col("edge"))
-    keys = at_edge.groupBy("source", "mix_key").agg(F.sum("size").alias("size"), F.max("room").alias("room"))
-    schema = rows.select("source", "mix_key").schema
-    return sources, written(keys.groupBy("source").applyInPandas(_first_fit, schema), "mix-edge")
+    state = sources.select("source", "n_buckets", F.lit(-1).cast("long").alias("after"), F.col("quota").alias("room"))
+    rounds, keys = None, None
+    while True:
+        steps, hits = _round(rows, state)
+        rounds, keys = (steps, hits) if rounds is None else (rounds.unionByName(steps), keys.unionByName(hits))
+        open_steps = steps.where("high < n_buckets - 1")
+        if open_steps.isEmpty():
+            break
+        used = hits.groupBy(F.col("source").alias("hit_source")).agg(F.sum("size").alias("used"))
+        state = written(
+            open_steps.join(used, F.col("source").eqNullSafe(F.col("hit_source")), "left").select("source", "n_buckets", F.col("high").alias("after"), (F.col("left") - F.coalesce("used", F.lit(0))).alias("room")),
+            "mix-state",
+        )
+    listed = rounds.groupBy(F.col("source").alias("round_source")).agg(F.collect_list(F.struct("after", "room", "low", "high")).alias("rounds"))
+    sources = sources.join(listed, F.col("source").eqNullSafe(F.col("round_source")), "left").drop("round_source")
+    return written(sources, "mix-targets"), keys.drop("size")
 
 
 def with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -116,12 +151,16 @@ def with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def with_copies(rows: DataFrame, sources: DataFrame, edge_keys: DataFrame) -> DataFrame:
-    """Adds ``copies``, how often the mix takes a row, to rows that have source and mix_key."""
-    rows = with_source(rows, sources)
-    clear = rows.where(_bucket() != F.col("edge")).withColumn("copies", F.col("whole") + (_bucket() < F.col("edge")).cast("int"))
+    """Adds ``copies``, how often the mix takes a row, to rows that have source, size and mix_key."""
+    rows = with_source(rows, sources).withColumn("bucket", _bucket())
+    fits = lambda r: (F.col("bucket") > r["after"]) & (F.col("bucket") <= r["high"]) & (F.col("size") <= r["room"])
+    one_by_one = F.exists("rounds", lambda r: fits(r) & (F.col("bucket") >= r["low"]))
+    rows = rows.withColumn("edge", F.coalesce(one_by_one, F.lit(False)))
+    in_whole = F.coalesce(F.exists("rounds", lambda r: fits(r) & (F.col("bucket") < r["low"])), F.lit(False))
+    clear = rows.where(~F.col("edge")).withColumn("copies", F.col("whole") + in_whole.cast("int"))
     keys = edge_keys.select(F.col("source").alias("edge_source"), F.col("mix_key").alias("edge_key"), F.lit(1).alias("hit"))
     at_edge = (
-        rows.where(_bucket() == F.col("edge"))
+        rows.where("edge")
         .join(keys, F.col("source").eqNullSafe(F.col("edge_source")) & (F.col("mix_key") == F.col("edge_key")), "left")
         .withColumn("copies", F.col("whole") + F.coalesce("hit", F.lit(0)))
         .drop("edge_source", "edge_key", "hit")
@@ -141,6 +180,6 @@ def repeat_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budg
     """The mix itself: each document as many times as it is taken, with the columns of ``docs``."""
     size, key = keyed(docs, seed)
     sources, edge_keys = plan_mix(written(docs.select("source", size.alias("size"), key.alias("mix_key")), "mix-rows"), weights, budget_ratio, max_epochs)
-    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", key.alias("mix_key"))
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", size.alias("size"), key.alias("mix_key"))
     taken = with_copies(carried, sources, edge_keys).where("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

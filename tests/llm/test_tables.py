@@ -152,3 +152,26 @@ def test_mixing(spark):
     repeated = repeat_documents(docs)
     assert repeated.columns == docs.columns
     assert {r.doc_id: r["count"] for r in repeated.groupBy("doc_id").count().collect()} == {i: c for i, c in copies.items() if c}
+
+
+@pytest.mark.parametrize("rows_per_round", [1, 16_384])
+def test_mixing_tries_the_documents_behind_a_giant_one(spark, monkeypatch, rows_per_round):
+    import facetmill.llm.mixing as mixing
+
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 16)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", rows_per_round, raising=False)
+    sizes = {i: 20 + i % 23 for i in range(400)} | {1000: 9000, 1001: 0}
+    docs = docs_table(spark, [(i, "w " * n, "s") for i, n in sizes.items()] + [(2000 + i, "w " * 5, None) for i in range(40)])
+    for seed in range(2):  # the giant is in another bucket each time
+        rows = mix_sources(docs, weights=(1, 1), budget_ratio=0.6, seed=seed).collect()
+        keys = {r.doc_id: r.k for r in docs.select("doc_id", mixing.keyed(docs, seed)[1].alias("k")).collect()}
+        for source in ("s", None):
+            own = [r for r in rows if r.source == source]
+            n_buckets = -(-len(own) // 16)
+            room, want = own[0].target - own[0].source_size * (own[0].target // own[0].source_size), {}
+            for r in sorted(own, key=lambda r: (keys[r.doc_id] % n_buckets, keys[r.doc_id])):
+                want[r.doc_id] = r.size <= room
+                room -= r.size * want[r.doc_id]
+            whole = int(own[0].target // own[0].source_size)
+            assert {r.doc_id: r.copies - whole for r in own} == want
+            assert room < min([r.size for r in own if not want[r.doc_id]], default=float("inf"))
