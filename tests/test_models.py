@@ -157,6 +157,29 @@ def test_large_pairs(separable):
     assert len(svm.fit_large_pair(rows, 0, 1, 1.0, gamma=0.1)[0]) == svm.RANDOM_FEATURES
 
 
+@pytest.mark.parametrize("kernel", ["linear", "rbf", "poly"])
+def test_dual_on_columns_made_on_demand(kernel, monkeypatch):
+    rng = np.random.default_rng(1)
+    x, y, box = rng.normal(0, 1, (90, 3)), np.where(np.arange(90) % 2 == 0, 1.0, -1.0), np.full(90, 2.0)
+    k = svm.Kernel(kernel, 0.5)
+    monkeypatch.setattr(svm, "KEPT_VALUES", 90 * 4)
+    lazy = svm.LazyGram(k, x)
+    alpha, bias = svm.solve_dual(lazy, y, box, tol=1e-6)
+    want, want_bias = svm.solve_dual(k(x, x), y, box, tol=1e-6)
+    assert len(lazy.kept) <= 4
+    margin, exact = k(x, x) @ (alpha * y) + bias, k(x, x) @ (want * y) + want_bias
+    assert np.allclose(margin, exact, atol=1e-3)
+
+
+def test_query_with_pairs_above_the_cap(monkeypatch, spark):
+    from facetmill.jobs.queries import QUERIES
+
+    want = sorted(QUERIES["svm_predict"](spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(svm, "PAIR_ROWS", 10)
+    assert sorted(QUERIES["svm_predict"](spark, "/root/testdata/sf0.001").collect()) == want
+    assert want
+
+
 def test_compare_families(separable):
     families = [selection.KNNFamily([{"k": 3, "p": 2}]), selection.SVMFamily([{"kernel": "linear", "c": 1.0}])]
     table, score, name, setting = compare_families(separable, families, 3, 2)
