@@ -53,8 +53,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused_name(name: str, df: DataFrame) -> str:
+    """``name``, or a longer one where a column of ``df`` has it already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hash_sample(rows: DataFrame, place: str, limit: int, about: int) -> DataFrame:
-    """The ``limit`` rows first by a 64-bit hash in column ``place``, out of about ``about``.
+    """The ``limit`` rows first by a 64-bit hash in column ``place``; ``about``: the number of ``rows``, within a factor of two.
 
     Only rows in the share of the hash's range that holds four times as many
     are sorted, so what tasks hand on does not grow with the table.

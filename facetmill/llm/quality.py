@@ -1,25 +1,29 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are pairs of neighbouring character classes, and how well it
-compresses (repetition). Terms are weighted by log frequency and inverse
-document frequency, learned with a truncated singular value decomposition on a
-bounded sample of labelled documents: at most ``max_labelled``, chosen by a hash
-of text and id, are fitted on, projected and broadcast. Every document is projected,
+A text's terms are its words and its byte trigrams (each hashed to a bounded
+number of places), pairs of neighbouring character classes, and how often its
+word pairs are repeated (in powers of two). All are weighted alike: by the log
+of their frequency in a thousand and by inverse document frequency. The
+weights and a truncated singular value decomposition are learned on a bounded
+sample of labelled documents: at most ``max_labelled``, chosen by a hash of text
+and id, are fitted on, projected and broadcast. Every document is projected,
 its cosine to every labelled vector is computed exactly, block by block, and
 the labels of the nearest ones vote with their similarity as weight.
 
 Only narrow work is done on the documents: no shuffle, whatever their number.
+A text is read in parts of about a megabyte, cut at white space, so what a task
+holds besides is a few bytes for each of its words.
 
 Defined results: null and empty texts, and any text if there is no labelled
 row, have no neighbours and get the labelled rows' share of label 1 (1.0
 without any); labels other than 0 and 1 and labels without id or document are
 not learned from; repeated rows get the same score. A row without id is not
-held out. Columns of documents besides doc_id and text are not looked at.
+held out. Columns of documents besides doc_id and text are not looked at, and
+their names may be any.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample
+from .common import hash_sample, unused_name, written
+from .shingles import _shingles, parts_at_spaces, word_hashes
 
 RANK, NEIGHBOURS, MAX_LABELLED = 48, 15, 8192
 THRESHOLD = 0.3
@@ -37,15 +42,15 @@ THRESHOLD = 0.3
 # Characters that share a class; bytes of other characters are told apart as lead, continuation or rest.
 CLASSES = ("a", "e", "i", "o", "u", "bcd", "fgh", "jkl", "mnp", "qrs", "tvw", "xyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789", " ", "\t\n\r", ".", ",", "!", "?", "#", "$", "%", "&", "*", "|", "'\"")
 N_CLASSES = len(CLASSES) + 3
-#: Upper ends of the compression ratios that are told apart.
-RATIOS = (0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5)
-N_TERMS = N_CLASSES * N_CLASSES + len(RATIOS) + 1
-#: Weight of the ratio's term, in the scale of log frequencies.
-RATIO_WEIGHT = 6.0
+#: Places for hashed words and trigrams, and steps of repetition (once, twice, 4 times, …).
+N_WORDS, N_TRIGRAMS, N_REPEATS = 512, 512, 8
+N_PAIRS = N_CLASSES * N_CLASSES
+N_TERMS = N_PAIRS + N_WORDS + N_TRIGRAMS + N_REPEATS
+_TRIGRAM_FACTOR = np.uint32(0x9E3779B1)
 
 
 def _class_table() -> np.ndarray:
-    table = np.full(256, N_CLASSES - 1, dtype=np.int64)
+    table = np.full(256, N_CLASSES - 1, dtype=np.uint16)
     table[0x80:0xC0], table[0xC0:] = N_CLASSES - 2, N_CLASSES - 3
     for i, chars in enumerate(CLASSES):
         table[[ord(c) for c in chars]] = i
@@ -55,15 +60,37 @@ def _class_table() -> np.ndarray:
 _TABLE = _class_table()
 
 
+def _byte_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of class pairs and of hashed trigrams."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    kinds = _TABLE[data]
+    pairs = np.bincount(kinds[:-1] * np.uint16(N_CLASSES) + kinds[1:], minlength=N_PAIRS)
+    wide = data.astype(np.uint32)
+    trigrams = ((wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]) * _TRIGRAM_FACTOR
+    return pairs, np.bincount(trigrams >> np.uint32(32 - N_TRIGRAMS.bit_length() + 1), minlength=N_TRIGRAMS)
+
+
 def term_vector(text: str) -> np.ndarray:
-    """Log frequencies of class pairs in a thousand, and the place of the compression ratio."""
+    """Log frequencies in a thousand of a text's terms: class pairs, words, trigrams, repeated word pairs."""
     out = np.zeros(N_TERMS, dtype=np.float32)
     raw = text.encode("utf-8", "replace")
-    if len(raw) > 1:
-        kinds = _TABLE[np.frombuffer(raw, dtype=np.uint8)]
-        pairs = np.bincount(kinds[:-1] * N_CLASSES + kinds[1:], minlength=N_CLASSES * N_CLASSES)
-        out[: N_CLASSES * N_CLASSES] = np.log1p(pairs * (1000.0 / len(raw)))
-        out[N_CLASSES * N_CLASSES + int(np.searchsorted(RATIOS, len(zlib.compress(raw, 1)) / len(raw)))] = RATIO_WEIGHT
+    if not raw:
+        return out
+    pairs, trigrams, words = np.zeros(N_PAIRS), np.zeros(N_TRIGRAMS), []
+    for part in parts_at_spaces(raw):
+        p, t = _byte_counts(part)
+        pairs, trigrams = pairs + p, trigrams + t
+        words.append(word_hashes(part))
+    words = np.concatenate(words)
+    repeats = np.zeros(N_REPEATS)
+    if len(words):
+        times = np.unique(_shingles(words, min(2, len(words))), return_counts=True)[1]
+        steps = np.minimum(np.frexp(times)[1] - 1, N_REPEATS - 1)
+        repeats = np.bincount(steps, times, minlength=N_REPEATS)
+    at = 0
+    for counts in (pairs, np.bincount((words % np.uint64(N_WORDS)).astype(np.int64), minlength=N_WORDS), trigrams, repeats):
+        out[at : at + len(counts)] = np.log1p(counts * (1000.0 / max(1.0, counts.sum())))
+        at += len(counts)
     return out
 
 
@@ -93,15 +120,19 @@ class Model:
         return np.clip(np.divide(vote, total, out=np.full(len(z), self.prior), where=total > 0), 0.0, 1.0)
 
 
-def fit_vectors(terms: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Model:
+def fit_vectors(terms: np.ndarray, labels: np.ndarray, rank: int = RANK, rounds: int = 6) -> Model:
+    """Weights, the leading singular directions (by subspace iteration, which never makes a terms x terms table) and the labelled vectors."""
     n = len(labels)
     if not n:
         return Model(np.ones(N_TERMS, np.float32), np.zeros((N_TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 1.0)
     weight = (1 + np.log((1 + n) / (1 + (terms > 0).sum(0)))).astype(np.float32)
     x = terms * weight
-    values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    basis = vectors[:, ::-1][:, : min(rank, n)].astype(np.float32)
-    model = Model(weight, np.ascontiguousarray(basis), np.zeros((0, 1), np.float32), labels.astype(np.float64), float(labels.mean()))
+    basis = np.random.default_rng(7).standard_normal((x.shape[1], min(rank + 12, n))).astype(np.float32)
+    for _ in range(rounds):
+        basis = np.linalg.qr(x.T @ (x @ basis))[0]
+    turn = np.linalg.svd(x @ basis, full_matrices=False)[2].T
+    basis = np.ascontiguousarray((basis @ turn)[:, : min(rank, n)])
+    model = Model(weight, basis, np.zeros((0, 1), np.float32), labels.astype(np.float64), float(labels.mean()))
     model.vectors = model.project(terms)
     return model
 
@@ -123,15 +154,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary())], names=["quality", "terms"])
 
     known = docs.where("doc_id is not null").select("doc_id", "text", order.alias("place"))
-    chosen = hash_sample(known.select("doc_id", "place").join(marks, "doc_id"), "place", max_labelled, marks.count())
+    labelled = written(known.select("doc_id", "place").join(marks, "doc_id"), "quality-labelled")
+    chosen = hash_sample(labelled, "place", max_labelled, labelled.count())
     texts = known.join(chosen, ["doc_id", "place"]).orderBy("place", "doc_id", "quality").select("quality", "text")
     rows = texts.mapInArrow(vectors, "quality int, terms binary").toArrow()  # at most max_labelled vectors of N_TERMS numbers
     terms = np.frombuffer(b"".join(rows.column("terms").to_pylist()), dtype=np.float32).reshape(-1, N_TERMS)
     return fit_vectors(terms, rows.column("quality").to_numpy())
 
 
-def score_quality(docs: DataFrame, model: Model, block: int = 256) -> DataFrame:
-    """The rows of ``docs`` with their score in a new last column, quality_score."""
+def score_quality(docs: DataFrame, model: Model, out: str = "quality_score", block: int = 256) -> DataFrame:
+    """The rows of ``docs`` with their score in a new last column."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -143,9 +175,9 @@ def score_quality(docs: DataFrame, model: Model, block: int = 256) -> DataFrame:
                 terms = np.stack([term_vector(t.as_py() or "") for t in part.column(at)])
                 empty = ~terms.any(axis=1)
                 scores = np.where(empty, own.prior, own.score(terms))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, out])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -156,5 +188,6 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRE
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not rejected, with their columns."""
-    plain = docs.select(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
-    return score_quality(plain, fit_quality(docs, labels)).where(F.col("quality_score") >= threshold).select(*[f"`{c}`" for c in docs.columns])
+    names = [f"`{c}`" for c in docs.columns]
+    score = unused_name("quality_score", docs)
+    return score_quality(docs.select(*names), fit_quality(docs, labels), score).where(F.col(score) >= threshold).select(*names)

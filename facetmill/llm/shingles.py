@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -10,7 +12,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Bytes of text hashed at once, but for a longer single text.
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of text hashed at once, but for a longer single word.
 BLOCK = 1 << 20
 
 
@@ -36,13 +39,30 @@ def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[data]
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    size = max(BLOCK, 1 << (len(data) + 1).bit_length())
+    size = max(2 * BLOCK, 1 << (len(data) + 1).bit_length())
     up, down = _powers(size)
     run = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=run[1:])
     return mixed((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64)), start
 
 
+def parts_at_spaces(raw: bytes, size: int = BLOCK) -> Iterator[bytes]:
+    """``raw`` in parts of about ``size`` bytes that end at white space (a longer word stays whole)."""
+    at = 0
+    while len(raw) - at > size:
+        end = SPACE.search(raw, at + size)
+        if end is None:
+            break
+        yield raw[at : end.end()]
+        at = end.end()
+    yield raw[at:]
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of the words of one text, read in parts."""
+    return np.concatenate([_words(part)[0] for part in parts_at_spaces(raw)])
+
+
 def _shingles(words: np.ndarray, k: int) -> np.ndarray:
     out = np.full(max(0, len(words) - k + 1), np.uint64(k), dtype=np.uint64)
     for j in range(k):
@@ -71,8 +91,16 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
         held = 0
 
     for text in texts:
-        block.append((text or "").encode("utf-8", "replace"))
-        held += len(block[-1]) + 1
+        raw = (text or "").encode("utf-8", "replace")
+        if len(raw) > BLOCK:
+            if block:
+                flush()
+            words = word_hashes(raw)
+            n = min(k, len(words))
+            out.append(np.unique(_shingles(words, n)) if n else words)
+            continue
+        block.append(raw)
+        held += len(raw) + 1
         if held >= BLOCK // 2:
             flush()
     if block:

@@ -8,6 +8,7 @@ import pytest
 
 from facetmill.llm.common import table
 from facetmill.llm.quality import NEIGHBOURS, classify_quality, fit_vectors, keep_quality, term_vector
+from facetmill.llm.shingles import parts_at_spaces, word_hashes
 
 SF = "/root/testdata/sf0.01"
 
@@ -46,8 +47,29 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     assert sorted(classify_quality(docs, labels).collect()) == sorted(classify_quality(docs, flipped).collect())
 
 
+def test_all_labels_are_learned_from_in_a_large_table_of_labels(spark, monkeypatch):
+    """Labels of other documents do not thin the sample."""
+    import facetmill.llm.quality as quality
+
+    docs = spark.createDataFrame([(i, f"text number {i} of the table") for i in range(300)], "doc_id long, text string")
+    labels = spark.range(300_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    seen = []
+    monkeypatch.setattr(quality, "fit_vectors", lambda terms, marks: seen.append(len(marks)))
+    quality.fit_quality(docs, labels, max_labelled=1000)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(300))]
+
+
+def test_parts_of_a_long_text_give_its_words():
+    words = [f"w{i % 977}" for i in range(50_000)]
+    raw = " ".join(words).encode()
+    assert b"".join(parts_at_spaces(raw, 1000)) == raw
+    whole, parts = word_hashes(raw), np.concatenate([word_hashes(p) for p in parts_at_spaces(raw, 1000)])
+    assert (whole == parts).all() and len(set(whole.tolist())) == 977
+    assert np.isfinite(term_vector("x" * 3_000_000)).all() and np.isfinite(term_vector("a b " * 700_000)).all()
+
+
 def test_odd_rows(spark):
-    docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "good words here", 0.1), (3, "good words here", 0.1), (None, "good words here", 0.2), (4, "#### $$$$ %%%%" * 9000, 0.2)], "doc_id long, text string, quality_score double").withColumnRenamed("quality_score", "score")
+    docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "good words here", 0.1), (3, "good words here", 0.1), (None, "good words here", 0.2), (4, "#### $$$$ %%%%" * 9000, 0.2)], "doc_id long, text string, quality_score double")
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, None), (None, 0), (9, 7)], "doc_id long, quality int")
     got = classify_quality(docs, labels).collect()
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
