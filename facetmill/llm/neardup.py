@@ -20,9 +20,16 @@ with a probability below 1 in 10,000; above that, it falls quickly.
    of n similar classes costs about n rows, not n * n.
 4. Members are verified against their center on full sets, and the components
    of these links are found. Canopies that are one component are done.
-5. In the others, members outside the center's component are compared with all
-   others, in blocks of at most ``BLOCK`` members, by products of incidence
-   matrices. A block returns a spanning forest of its links, not all of them.
+5. In the others, a member is told by its differences to the center: shingles
+   that it has besides, and those that it lacks. Two members of which one is
+   not linked to the center can only be linked if they share differences, and
+   how many follows from their sizes. So members meet by those of their rarest
+   differences of which one must be shared (a prefix, as in joins of similar
+   sets), first all with the smallest member that has the same difference, then
+   those of different components among each other. Candidates are verified on
+   their differences, which give the exact similarity. Members that are equally
+   far from the center, but have little else in common, never meet, so their
+   number does not count by its square.
 
 Full sets are made again from the texts for the documents that need them only.
 
@@ -36,11 +43,12 @@ and text are not looked at.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,10 +65,8 @@ SLACK = 33
 TIGHT = 42
 #: Rows that share a small key above which the key is dealt with apart.
 HOT_ROWS = 200_000
-#: Members of a block; two blocks meet in a task.
-BLOCK = 2048
-#: Columns of an incidence matrix at once.
-COLUMNS = 2048
+#: Rows and bytes of texts that are sketched at once.
+PORTION_ROWS, PORTION_BYTES = 512, 4 << 20
 #: Nodes up to which the table of those whose texts are read again is broadcast (8 bytes each).
 BROADCAST_NODES = 1_000_000
 _MULTIPLIERS, _OFFSETS = (mixed(np.arange(lo, lo + 2 * SIDE * WIDTH, dtype=np.uint64)) for lo in (1, 1001))
@@ -84,10 +90,16 @@ def small_keys(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[:, 0], key[:, 1]
 
 
-def _portions(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _portions(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches of at most PORTION_ROWS rows and about PORTION_BYTES bytes in column ``text``, but one row at least."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < batch.num_rows:
+            room = np.searchsorted(np.cumsum(sizes[at : at + PORTION_ROWS], dtype=np.int64), PORTION_BYTES, side="right")
+            n = max(1, int(room))
+            yield batch.slice(at, n)
+            at += n
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -222,58 +234,110 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.select("x", "y", "fx", "fy").mapInArrow(linked, "x bigint, y bigint").withColumnsRenamed({"x": "u", "y": "v"})
 
 
-def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links (i, j) that connect whatever pairs of sets reaching the similarity connect."""
-    size = np.array([len(s) for s in sets])
-    values, place, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), size)
-    shared = seen[place] > 1  # what one set alone has is in no intersection
-    number = np.cumsum(seen > 1) - 1
-    row, column = row[shared], number[place[shared]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    for low in range(0, int((seen > 1).sum()), COLUMNS):
-        a, b = np.searchsorted(column, [low, low + COLUMNS])
-        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
-        part[row[a:b], column[a:b] - low] = 1
-        both += part @ part.T
-    linked = np.zeros(both.shape, dtype=bool)
-    for at in range(0, len(sets), 256):
-        common = both[at : at + 256].astype(np.int64)
-        linked[at : at + 256] = 100 * common >= percent * (size[at : at + 256, None] + size[None, :] - common)
-    out, left = [], np.ones(len(sets), dtype=bool)
-    for i in range(len(sets)):
-        stack = [i] if left[i] else []
-        left[i] = False
-        while stack:
-            u = stack.pop()
-            near = np.flatnonzero(linked[u] & left)
-            left[near] = False
-            out += [(u, int(v)) for v in near]
-            stack += near.tolist()
-    return out
-
-
-def block_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (u, v) inside canopies of (center, node, outside): of members outside the center's component with all others."""
-    sizes = members.groupBy("center").agg(F.ceil(F.sum(F.col("outside").cast("int")) / BLOCK).alias("n_out"), F.ceil(F.sum((~F.col("outside")).cast("int")) / BLOCK).alias("n_in"))
-    rows = members.join(sizes, "center").withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("n_out")).otherwise(F.col("n_in"))))
-    upto = lambda n: F.filter(F.sequence(F.lit(0).cast("long"), n), lambda b: b < n)
-    cell = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
-    at = F.col("at")
-    outside = F.concat(F.transform(upto(F.col("n_out")), lambda b: cell("out", F.least(at, b), F.greatest(at, b))), F.transform(upto(F.col("n_in")), lambda b: cell("in", at, b)))
-    inside = F.transform(upto(F.col("n_out")), lambda a: cell("in", a, at))
-    placed = rows.withColumn("cell", F.explode(F.when(F.col("outside"), outside).otherwise(inside))).select("center", "cell.*", "node")
-    full = written(full_sets(docs, members.select("node").distinct(), k), "neardup-sets")
-
-    def links(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node", kind="stable")
-        nodes = group["node"].to_numpy()
-        found = forest([np.frombuffer(f, dtype=np.uint64) for f in group["full"]], percent)
-        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in found], columns=["u", "v"])
-
-    return placed.join(full, "node").groupBy("center", "kind", "a", "b").applyInPandas(links, "u bigint, v bigint")
+def difference_lists(x: np.ndarray, c: np.ndarray, percent: int) -> tuple[np.ndarray, bool, int, int]:
+    """Of a set and its center's: the differences, whether the two are linked, and the lengths of two prefixes of differences.
+
+    A shingle that ``x`` has besides is its hash, one that it lacks is the
+    hash's complement. For a linked pair of which one is not linked to the
+    center, and of which ``x`` has the fewer (more) differences, one of any
+    first ``few`` (``many``) differences of ``x`` is shared.
+    """
+    place = np.minimum(np.searchsorted(c, x), len(c) - 1)
+    there = c[place] == x
+    lacks = np.ones(len(c), dtype=bool)
+    lacks[place[there]] = False
+    diff = np.sort(np.concatenate([x[~there], ~c[lacks]]))
+    both, far, size = int(there.sum()), len(diff), len(x)
+    r, most = (100 - percent) / (100 + percent), size * 100 / percent
+    # The other's differences are no fewer than this, and its size no more than both bounds.
+    least_other = max(0.0, far - r * (size + most))
+    share_small = far - r * (size + most) / 2
+    share_large = (far + least_other - r * (size + min(most, len(c) + least_other))) / 2
+    few, many = (far - max(1, math.ceil(s - 1e-6)) + 1 for s in (share_small, share_large))
+    return diff, 100 * both >= percent * (size + len(c) - both), few, many
+
+
+def differences(rest: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """From (center, node, outside): adds size, far (number of differences), diff, near (linked to the center), few and many."""
+    names = ["center", "node", "outside", "size", "far", "near", "few", "many", "diff"]
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(6)]
+            for fx, fc in zip(batch.column("fx"), batch.column("fc"), strict=True):
+                x, c = np.frombuffer(fx.as_py(), dtype=np.uint64), np.frombuffer(fc.as_py(), dtype=np.uint64)
+                diff, near, few, many = difference_lists(x, c, percent)
+                for column, value in zip(columns, (len(x), len(diff), near, few, many, diff.view(np.int64)), strict=True):
+                    column.append(value)
+            kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:3]], *[pa.array(v, t) for v, t in zip(columns, kinds, strict=True)]], names=names)
+
+    nodes = rest.select("node").union(rest.select("center")).distinct()
+    full = written(full_sets(docs, nodes, k), "neardup-sets")
+    both = rest.join(full.withColumnRenamed("full", "fx"), "node").join(full.select(F.col("node").alias("center"), F.col("full").alias("fc")), "center")
+    return both.select("center", "node", "outside", "fx", "fc").mapInArrow(told, "center bigint, node bigint, outside boolean, size int, far int, near boolean, few int, many int, diff array<bigint>")
+
+
+def postings(diffs: DataFrame) -> DataFrame:
+    """(center, token, node, outside, size, far, first): each member under those of its rarest differences by which it can meet another; ``first``: of the shorter prefix."""
+    tokens = diffs.where("far > 0").select("center", "node", "outside", "size", "far", "few", "many", F.xxhash64("diff").alias("which"), F.explode("diff").alias("token"))
+    shared = tokens.groupBy("center", "token").agg(F.count("*").alias("n"), F.max("outside").alias("useful")).where("n > 1 and useful").drop("useful")
+    # Differences by which nobody outside can be met come first in the order, and need no rows.
+    own = Window.partitionBy("center", "node", "which")  # rows of one id may have different texts
+    placed = tokens.join(shared, ["center", "token"]).withColumn("at", F.row_number().over(own.orderBy("n", "token"))).withColumn("at", F.col("at") + F.col("far") - F.count("*").over(own))
+    return placed.where("at <= many").select("center", "token", "node", "outside", "size", "far", (F.col("at") <= F.col("few")).alias("first"))
+
+
+def linked_by_differences(pairs: DataFrame, diffs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (center, x, y) whose sets reach the similarity, as links (u, v)."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for p, q, n, m in zip(batch.column("dx"), batch.column("dy"), batch.column("nx").to_pylist(), batch.column("ny").to_pylist(), strict=True):
+                common = len(np.intersect1d(p.values.to_numpy(), q.values.to_numpy(), assume_unique=True))
+                apart = len(p) + len(q) - 2 * common
+                # |x and y| = (n + m - apart) / 2, |x or y| = (n + m + apart) / 2
+                keep.append(100 * (n + m - apart) >= percent * (n + m + apart))
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: diffs.select("center", F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("diff").alias(f"d{c}"))
+    both = pairs.join(side("x"), ["center", "x"]).join(side("y"), ["center", "y"])
+    return both.select("x", "y", "nx", "ny", "dx", "dy").mapInArrow(linked, "x bigint, y bigint").withColumnsRenamed({"x": "u", "y": "v"})
+
+
+def similar_size(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def remaining_links(rest: DataFrame, docs: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:
+    """``roots`` extended by the links inside canopies of (center, node, outside) of which one end is outside the center's component."""
+    diffs = written(differences(rest, docs, k, percent), "neardup-differences")
+    lists = written(postings(diffs), "neardup-postings")
+    pivots = lists.groupBy("center", "token").agg(F.min_by(F.struct("node", "outside", "size"), "node").alias("pivot"))
+    star = (
+        lists.join(pivots, ["center", "token"])
+        .where((F.col("node") != F.col("pivot.node")) & (F.col("outside") | F.col("pivot.outside")) & similar_size("size", "pivot.size", percent))
+        .select("center", F.col("node").alias("x"), F.col("pivot.node").alias("y"))
+        .distinct()
+    )
+    direct = diffs.where("near and outside").select(F.col("node").alias("u"), F.col("center").alias("v"))
+    roots = extended_components(roots, written(linked_by_differences(star, diffs, percent).unionByName(direct), "neardup-links"))
+    rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("center", "token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("center", "token")
+    open_lists = written(rooted.join(apart, ["center", "token"], "left_semi"), "neardup-open")
+    if open_lists.isEmpty():
+        return roots
+    few, many = open_lists.where("first").alias("few"), open_lists.alias("many")
+    meet = (F.col("few.center") == F.col("many.center")) & (F.col("few.token") == F.col("many.token"))
+    pairs = (
+        few.join(many, meet)
+        .where((F.struct("few.far", "few.node") < F.struct("many.far", "many.node")) & (F.col("few.root") != F.col("many.root")) & (F.col("few.outside") | F.col("many.outside")) & similar_size("few.size", "many.size", percent))
+        .select(F.col("few.center").alias("center"), F.col("few.node").alias("x"), F.col("many.node").alias("y"))
+        .distinct()
+    )
+    more = written(linked_by_differences(pairs, diffs, percent), "neardup-links")
+    return roots if more.isEmpty() else extended_components(roots, more)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -296,8 +360,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     unsettled = flagged.groupBy("center").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("center")
     rest = written(flagged.join(unsettled, "center", "left_semi").select("center", "node", "outside").distinct(), "neardup-rest")
     if not rest.isEmpty():
-        more = written(block_links(rest, docs, k, percent), "neardup-links")
-        roots = extended_components(roots, more)
+        roots = written(remaining_links(rest, docs, roots, k, percent), "neardup-roots")
     named = roots.join(classes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = roots.join(named, "root").select("node", "component_id")
     of_class = classes.join(by_node, "node", "left").select("set_key", F.coalesce("component_id", "least").alias("component_id"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from facetmill.llm.components import connected_components, extended_components
-from facetmill.llm.neardup import drop_near_duplicates, forest, minhashes, near_duplicates, small_keys
+from facetmill.llm.neardup import difference_lists, drop_near_duplicates, minhashes, near_duplicates, small_keys
 from facetmill.llm.shingles import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,11 +82,8 @@ def test_equals_brute_force(spark, k):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == want
 
 
-def test_blocks_of_a_large_canopy(spark, monkeypatch):
-    """Copies of one text that are near to it, but hardly to each other, in blocks of a few."""
-    import facetmill.llm.neardup as nd
-
-    monkeypatch.setattr(nd, "BLOCK", 16)
+def test_large_canopy(spark):
+    """Copies of one text that are near to it, but hardly to each other, with and without the text itself."""
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     base = [word() for _ in range(150)]
@@ -105,6 +102,48 @@ def test_blocks_of_a_large_canopy(spark, monkeypatch):
         assert got == {i: c for (i, _), c in zip(part, component, strict=True)}
 
 
+def template_copies(rng, n, share=0.18):
+    """Texts of 120 words that share all but ``share`` of them."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base = [word() for _ in range(120)]
+    at = range(int(120 * (1 - share)), 120)
+    return [" ".join(word() if j in at else w for j, w in enumerate(base)) for _ in range(n)]
+
+
+def test_unlinked_copies_do_not_meet_in_pairs(spark):
+    """5,000 texts at a similarity of about 0.7: candidates grow in proportion."""
+    import facetmill.llm.neardup as nd
+
+    rows = list(enumerate(template_copies(random.Random(3), 5000)))
+    sets = [brute_set(t, 2) for _, t in rows[:40]]
+    assert all(0.6 < len(a & b) / len(a | b) < 0.8 for a in sets for b in sets if a is not b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rest = docs.where("doc_id > 0").select(nd.F.lit(0).cast("long").alias("center"), nd.F.col("doc_id").alias("node"), nd.F.lit(True).alias("outside"))
+    diffs = nd.differences(rest, docs, 2, 80).persist()
+    assert diffs.where("near").count() == 0
+    assert nd.postings(diffs).where("first").count() < 5 * len(rows)
+    diffs.unpersist()
+    got = near_duplicates(docs, 2).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == len(rows)
+
+
+def test_clusters_of_unlinked_canopies(spark):
+    """Groups of near copies whose originals are near to each other, but not linked."""
+    rng = random.Random(12)
+    rows = []
+    for text in template_copies(rng, 12, 0.2):
+        for _ in range(rng.randrange(1, 25)):
+            words = text.split(" ")
+            words[rng.randrange(120)] = "changed" + str(rng.randrange(9))
+            rows.append(" ".join(words))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    sets, component = brute_components(rows, 2)
+    assert len(set(component)) > 5
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {i: c for (i, _), c in zip(rows, component, strict=True)}
+
+
 def test_hot_keys_give_the_same_buckets(spark, monkeypatch):
     import facetmill.llm.neardup as nd
 
@@ -116,27 +155,33 @@ def test_hot_keys_give_the_same_buckets(spark, monkeypatch):
     assert sorted(nd.bucket_rows(classes).collect()) == whole
 
 
-def test_forest_connects_what_links_connect():
-    rng = np.random.default_rng(4)
-    base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
-    sets = [np.unique(np.concatenate([base[rng.random(300) > x], rng.integers(0, 2**63, 10, dtype=np.uint64)])) for x in rng.uniform(0.05, 0.2, 60)]
-    want, got = list(range(60)), list(range(60))
-
-    def find(root, i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(60):
-        for j in range(i):
-            both = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
-                want[find(want, i)] = find(want, j)
-    links = forest(sets, 80)
-    for i, j in links:
-        got[find(got, i)] = find(got, j)
-    same = lambda root: {frozenset(j for j in range(60) if find(root, j) == find(root, i)) for i in range(60)}
-    assert same(got) == same(want) and len(links) == 60 - len(same(want)) and 1 < len(same(want)) < 60
+def test_prefixes_of_differences_never_miss_a_link():
+    """Any order of the differences: a linked pair of which one is not linked to the center shares one of the prefixes."""
+    rng, linked = np.random.default_rng(4), 0
+    universe = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    for _ in range(3000):
+        c = np.unique(universe[rng.integers(0, 4000, rng.integers(5, 120))])
+        change = lambda base, keep: np.unique(np.concatenate([base[rng.random(len(base)) < keep], universe[rng.integers(0, 4000, rng.integers(0, 1 + int(len(base) * (1.05 - keep) * rng.random() * 2)))]]))  # noqa: B023, E731
+        x = change(c, rng.uniform(0.55, 1))
+        y = change(x, rng.uniform(0.85, 1))
+        if not len(x) or not len(y):
+            continue
+        both = len(np.intersect1d(x, y))
+        (dx, near_x, few_x, many_x), (dy, near_y, few_y, many_y) = difference_lists(x, c, 80), difference_lists(y, c, 80)
+        both_c = len(np.intersect1d(x, c))
+        assert near_x == (100 * both_c >= 80 * (len(x) + len(c) - both_c))
+        apart = len(dx) + len(dy) - 2 * len(np.intersect1d(dx, dy))
+        assert apart == len(x) + len(y) - 2 * both
+        if 100 * both < 80 * (len(x) + len(y) - both) or near_x and near_y:
+            continue
+        linked += 1
+        order = {int(t): rng.random() for t in np.concatenate([dx, dy])}
+        prefix = lambda d, n: set(sorted(map(int, d), key=order.get)[: max(0, n)])  # noqa: B023, E731
+        small, large = ((dx, few_x), (dy, many_y)) if len(dx) <= len(dy) else ((dy, few_y), (dx, many_x))
+        assert prefix(*small) & prefix(*large)
+        if len(dx) == len(dy):
+            assert prefix(dy, few_y) & prefix(dx, many_x)
+    assert linked > 200
 
 
 def test_empty_table(spark):
