@@ -2,8 +2,8 @@
 
 A text's canonical form is its compatibility normalisation (NFKC) with case
 folded and every run of white space folded to one space, trimmed. The digest is
-128 bits wide: two differently seeded xxhash64 values of the canonical form.
-Documents are grouped by digest; inside a bucket with several documents the
+128 bits wide: two differently seeded xxhash64 values of the canonical form,
+which is made once for every document. Documents are grouped by digest; inside a bucket with several documents the
 canonical bytes are compared, and where they differ (a collision) the digest
 alone no longer stands for the text, so each text's own SHA-256 is appended.
 Hence equal fingerprints mean equal canonical texts.
@@ -44,17 +44,26 @@ def digest(canon: Column) -> Column:
     return F.concat(part(1), part(2))
 
 
-def collided(canon: DataFrame) -> DataFrame:
-    """From (digest, canon): the digests that stand for more than one canonical text.
+def with_digest(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, digest, sha): every document's canonical form is made once, for its digest and its SHA-256."""
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("canon", canonical(F.col("text")))
+    return rows.select("doc_id", "text", digest(F.col("canon")).alias("digest"), F.sha2("canon", 256).alias("sha"))
 
-    Digests are counted first; only texts of those that occur again are dealt
-    out, and equal texts are merged before that. The repeated digests are
+
+def collided(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """The digests of (doc_id, digest) rows that stand for more than one canonical text.
+
+    Digests are counted first; the canonical forms of those documents whose
+    digest occurs again are made once more and compared byte by byte. Equal
+    texts are merged before they are dealt out. The ids of these documents are
     broadcast while their counted number allows it, else joined by shuffle.
     """
-    again = written(canon.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "fingerprint-again")
-    if again.count() <= BROADCAST_DIGESTS:
-        again = F.broadcast(again)
-    distinct = canon.join(again, "digest", "left_semi").groupBy("digest", "canon").agg(F.lit(1).alias("one"))
+    again = digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    ids = written(digests.join(again, "digest").select(F.col("doc_id").alias("again_id")).distinct(), "fingerprint-again")
+    if ids.count() <= BROADCAST_DIGESTS:
+        ids = F.broadcast(ids)
+    canon = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("again_id")), "left_semi").select(canonical(text_or_empty()).alias("canon")).withColumn("digest", digest(F.col("canon")))
+    distinct = canon.groupBy("digest", "canon").agg(F.lit(1).alias("one"))
     return distinct.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
 
 
@@ -70,21 +79,19 @@ def resolve(rows: DataFrame, clashes: DataFrame, digest_col: str, sha_col: str,
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint for every document."""
-    canon = docs.select("doc_id", canonical(text_or_empty()).alias("canon")).withColumn("digest", digest(F.col("canon")))
-    clashes = written(collided(canon.select("digest", "canon")), "fingerprint-clashes")
-    return resolve(canon.select("doc_id", "digest", F.sha2("canon", 256).alias("sha")), clashes, "digest", "sha", "fingerprint").drop("digest")
+    rows = written(with_digest(docs).drop("text"), "fingerprint-rows")
+    clashes = written(collided(docs, rows), "fingerprint-clashes")
+    return resolve(rows, clashes, "digest", "sha", "fingerprint").select("doc_id", "fingerprint")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): each document with the text of the next one by id; the first follows the last.
+def with_next(rows: DataFrame) -> DataFrame:
+    """Adds next_text, next_digest and next_sha to (doc_id, text, digest, sha): those of the next document by id; the first follows the last.
 
     Ids are cut into ranges at quantiles that are ids themselves, so a range's
     first id is known; the rows of that id also go, marked, to the end of the
     range before, where the window finds them as the last row's successor.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    n = 4 * shuffle_partitions(spark)
+    n = 4 * shuffle_partitions(rows.sparkSession)
     # One number per range comes to the driver.
     ends = rows.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("cuts"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
     starts = sorted({*([ends.low] if ends.low is not None else []), *(ends.cuts or [])})
@@ -103,7 +110,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     place = lambda at, tail: F.struct(at.alias("range"), F.lit(tail).alias("tail"))
     places = F.when(is_first, F.array(place(own, 0), place(F.pmod(own - 1, F.lit(max(1, len(starts)))), 1))).otherwise(F.array(place(own, 0)))
     in_range = Window.partitionBy("range").orderBy("tail", F.asc_nulls_first("doc_id"), "text")
-    return rows.withColumn("place", F.explode(places)).select("doc_id", "text", "place.*").withColumn("next_text", F.lead("text").over(in_range)).where("tail = 0").select("doc_id", "text", "next_text")
+    following = {f"next_{c}": F.lead(c).over(in_range) for c in ("text", "digest", "sha")}
+    return rows.withColumn("place", F.explode(places)).select("doc_id", "text", "digest", "sha", "place.*").withColumns(following).where("tail = 0").drop("range", "tail")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -111,23 +119,16 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, n_chars - half)"), F.expr("substring(next_text, 1, half)"))
     texts = (
-        with_next(docs)
+        with_next(with_digest(docs))
         .withColumn("n_chars", F.length("text"))
         .withColumn("half", half)
         .withColumn("edited", edited)
-        .select("doc_id", F.col("n_chars").cast("long"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), canonical(F.col("text")).alias("canon"), canonical(F.col("edited")).alias("edited_canon"), canonical(F.col("next_text")).alias("next_canon"))
-    )
-    likeness = lambda a, b: (F.col(a) == F.col(b)).cast("double")
-    rows = written(
-        texts.select(
-            "doc_id", "n_chars", "edited_sha256", digest(F.col("canon")).alias("digest"), digest(F.col("edited_canon")).alias("edited_digest"),
-            F.sha2("canon", 256).alias("sha"), F.sha2("edited_canon", 256).alias("edited_sha"),
-            likeness("canon", "edited_canon").alias("near_edited"), likeness("canon", "next_canon").alias("near_next"),
-        ),
-        "fingerprint-rows",
+        .select("doc_id", F.col("n_chars").cast("long"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "digest", "sha", "next_digest", "next_sha", canonical(F.col("edited")).alias("edited_canon"))
     )
-    canon = docs.select(canonical(text_or_empty()).alias("canon"))
-    by_bytes = collided(canon.select(digest(F.col("canon")).alias("digest"), "canon"))
+    made = texts.select("doc_id", "n_chars", "edited_sha256", "digest", "sha", "next_digest", "next_sha", digest(F.col("edited_canon")).alias("edited_digest"), F.sha2("edited_canon", 256).alias("edited_sha"))
+    likeness = lambda other: ((F.col("digest") == F.col(f"{other}_digest")) & (F.col("sha") == F.col(f"{other}_sha"))).cast("double")
+    rows = written(made.withColumn("near_edited", likeness("edited")).withColumn("near_next", likeness("next")).drop("next_digest", "next_sha"), "fingerprint-rows")
+    by_bytes = collided(docs, rows.select("doc_id", "digest"))
     # Edited texts exist only here; among themselves and against the documents their canonical bytes' SHA-256 is compared.
     both = rows.select(F.explode(F.array(F.struct("digest", "sha"), F.struct(F.col("edited_digest").alias("digest"), F.col("edited_sha").alias("sha")))).alias("x"))
     by_sha = both.groupBy("x.digest").agg(F.min("x.sha").alias("low"), F.max("x.sha").alias("high")).where("low < high").select("digest")
