@@ -196,7 +196,8 @@ def _pieces(features: list[list[str]], labels: list[int]) -> list[tuple[list[lis
 
 def fit_extractor(pages: DataFrame, max_pages: int = MAX_PAGES, composed: int = COMPOSED) -> Chain:
     """Trains on composed pages and on at most ``max_pages`` pages whose mark-up states the article."""
-    sample = hash_sample(pages.where(F.length("html") <= FIT_CHARS).select("html", F.xxhash64("page_id", "url").alias("place")), "place", max_pages, pages.count())
+    fitting = pages.where(F.length("html") <= FIT_CHARS)
+    sample = hash_sample(fitting.select("html", F.xxhash64("page_id", "url").alias("place")), "place", max_pages, fitting.count())
     chains = [p for c in composed_chains(composed) for p in _pieces(*c)]
     for row in sample.collect():  # at most max_pages pages of FIT_CHARS characters
         paths = Paths()
