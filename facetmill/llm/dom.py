@@ -12,7 +12,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template title textarea iframe xmp noembed noframes".split())
 UNSEEN = frozenset("head svg math canvas object audio video select button datalist map".split())
 #: A start tag ends these open elements, up to the nearest of their containers.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
+CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Any other start tag ends an open head.
+OF_HEAD = frozenset("title meta link base script style noscript template head".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -112,6 +114,11 @@ def leaf_blocks(page: str, paths: Paths) -> list[Block]:
             if not unseen:
                 pieces.append(" ")
             continue
+        if not ends and tag not in OF_HEAD:
+            for i, (name, _) in enumerate(stack):
+                if name == "head":
+                    close(i)
+                    break
         inline = tag in INLINE
         if not inline:
             flush()
@@ -134,7 +141,7 @@ def leaf_blocks(page: str, paths: Paths) -> list[Block]:
                     break
                 if stack[i][0] in ended:
                     close(i)
-                    if tag not in ("tr", "body"):
+                    if tag != "tr":
                         break
         stack.append((tag, path))
         if not inline:

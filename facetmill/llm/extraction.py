@@ -1,16 +1,17 @@
 """Main text of HTML pages: a linear-chain conditional random field over DOM leaf blocks.
 
 A page becomes its sequence of leaf blocks (text between block-level tags).
-Each block has features from its ancestors (tags; words of class, id and role)
-and its text (length, share of links, punctuation, telling words). The field
-labels blocks as article or other, and Viterbi decoding gives the best sequence
-for the whole page. Blocks of the article are joined in page order.
-
-It is trained on labelled pages of two kinds: composed ones with known labels,
-in many layouts (semantic elements, marked containers, hardly any marks), and
-at most ``max_pages`` pages of the table itself, by hash, whose mark-up states
-the article: blocks inside ``article`` or ``main`` that are in none of its
-menus, notices, forms or comments.
+Each block has features from its ancestors (tags; words of class, id and role;
+the nearest container with such marks; what lies between it and an ``article``)
+and from texts (length, share of links, punctuation, telling words, and how
+much of the page's text its container holds). The field labels blocks as
+article or other, and Viterbi decoding gives the best sequence for the whole
+page. Blocks of the article are joined in page order.
+
+It is trained on composed pages whose labels are known, because the composer
+knows what it writes: with semantic elements, with marked containers, with
+marks that mean nothing, hardly any marks, or no container at all. Labelled
+pages of one's own can be added.
 
 Pages are read, parsed and decoded where they are: no shuffle.
 
@@ -22,97 +23,122 @@ url and html are not looked at.
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import hash_sample
 from .crf import Chain, train
 from .dom import Block, Paths, leaf_blocks
 
-MAX_PAGES, COMPOSED = 300, 400
-#: Longer pages are not fitted on (they are extracted like any other); others in pieces of so many blocks.
-FIT_CHARS, FIT_BLOCKS = 200_000, 60
+COMPOSED = 900
+#: Longer pages are fitted on in pieces of so many blocks.
+FIT_BLOCKS = 60
 
-# Words of marks (class, id, role) and of texts that tell what a block is.
-OTHER_MARKS = frozenset("ad ads advert advertisement sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer bottom sidebar aside widget rail related recommended share social cookie consent notice banner alert popup modal newsletter subscribe signup login form search comments comment reply replies discussion disqus pager pagination copyright legal tags meta toolbar skip hidden".split())
-CONTENT_MARKS = frozenset("article content main post entry story".split())
-OTHER_TAGS = frozenset("nav footer aside form header menu dialog fieldset".split())
+# Words of marks (class, id, role) and of texts that tell what a block is; elements that shape text inside a container.
+OTHER_MARKS = frozenset("ad ads advert advertisement sponsored sponsor promo promotion offer partner nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer bottom sidebar aside widget rail related recommended share social cookie consent notice banner alert popup modal newsletter subscribe signup login form search comments comment reply replies respond response responses feedback discussion disqus pager pagination copyright legal tags meta toolbar skip hidden".split())
+CONTENT_MARKS = frozenset("article content main post entry story body text".split())
 CUES = re.compile(r"©|\b(?:cookies?|copyright|rights reserved|subscribe|newsletter|sign ?up|sign ?in|log ?in|advertisement|sponsored|share this|follow us|read more|related|leave a reply|comments?|privacy|terms of|posted by|menu|search)\b", re.I)
+ZONES = frozenset("article main nav footer header aside form section".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table tbody thead tr td th blockquote figure figcaption pre".split())
 
 
-#: Times that what the mark-up states counts as a feature, so that it is learned before weaker signs.
-STATED = 4
+def kind_of_marks(marks: Sequence[str]) -> str:
+    if not marks:
+        return "none"
+    other, content = bool(OTHER_MARKS & set(marks)), bool(CONTENT_MARKS & set(marks))
+    return "both" if other and content else "other" if other else "content" if content else "unknown"
 
 
-def stated(paths: Paths, path: int) -> int | None:
-    """What the mark-up says of a path: 1 inside an article or main element, 0 inside something else of these or outside, None if it says nothing."""
-    marked = False  # inside a container that is marked as content; a form around it holds the page, not fields
-    for p in paths.chain(path):
-        tag = paths.tag[p]
-        if tag in ("article", "main"):
-            return 1
-        marked = marked or bool(set(paths.marks[p]) & CONTENT_MARKS)
-        if tag == "form" and marked:
-            continue
-        if tag in OTHER_TAGS and tag != "header" or set(paths.marks[p]) & OTHER_MARKS:
-            return 0
-    return None
+def anchor(paths: Paths, path: int) -> int:
+    """The container of a block: its nearest ancestor, or itself, that is more than an element of the text."""
+    leaf = True
+    while path:
+        tag, marks = paths.tag[path], paths.marks[path]
+        if not (tag in TEXT_TAGS and (not marks or tag not in ("li", "ul", "ol", "dl", "table", "figure", "blockquote")) or leaf and tag == "div" and not marks):
+            return path
+        leaf, path = False, paths.parent[path]
+    return path
 
 
 def path_features(paths: Paths, path: int) -> list[str]:
     chain = paths.chain(path)
-    says = stated(paths, path)
-    out = {f"tag:{paths.tag[p]}" for p in chain} | {f"mark:{m}" for p in chain for m in paths.marks[p]}
+    marks = [m for p in chain for m in paths.marks[p]]
+    out = {f"tag:{paths.tag[p]}" for p in chain} | {f"mark:{m}" for m in marks} | {f"piece:{m[:4]}" for m in marks}
     if chain:
         out.add(f"in:{paths.tag[chain[0]]}")
-        out |= {f"own:{m}" for m in paths.marks[chain[0]]}
-    return sorted(out) + [f"stated:{says}"] * STATED
-
-
-def text_kind(block: Block, says: int | None) -> tuple:
-    """Telling words count only where the mark-up doesn't say that this is the article."""
-    text = block.text
-    words = text.count(" ") + 1
-    return (min(7, words.bit_length()), min(3, 4 * block.linked // len(text)), text[-1] in ".!?…\"'”»:;", text[0].isupper(), says != 1 and CUES.search(text) is not None and words < 40)
+    out.add(f"zone:{next((paths.tag[p] for p in chain if paths.tag[p] in ZONES), 'none')}")
+    marked = next((p for p in chain if paths.marks[p]), None)
+    near = kind_of_marks(paths.marks[marked]) if marked is not None else "none"
+    out |= {f"near:{near}", f"any:{'other' if OTHER_MARKS & set(marks) else 'content' if CONTENT_MARKS & set(marks) else 'none'}"}
+    if marked is not None:
+        out |= {f"near:{m}" for m in paths.marks[marked]} | {f"near:{near}:{paths.tag[marked]}"}
+    at = next((i for i, p in enumerate(chain) if paths.tag[p] in ("article", "main")), None)
+    if at is not None:
+        between = [p for p in chain[:at] if paths.tag[p] not in TEXT_TAGS or paths.marks[p] and paths.tag[p] != "p"]
+        kinds = {kind_of_marks(paths.marks[p]) for p in between}
+        out |= {f"inside:{min(2, len(between))}", *(f"between:{k}" for k in kinds), *(f"between:{paths.tag[p]}" for p in between)}
+    else:
+        out.add("outside")
+    return sorted(out)
+
+
+def text_kinds(paths: Paths, blocks: Sequence[Block], anchors: dict[int, int]) -> list[tuple]:
+    """What a block's own text and its container's share of the page tell, in few steps."""
+    held: dict[int, int] = {}
+    sizes = []
+    for b in blocks:
+        if b.path not in anchors:
+            anchors[b.path] = anchor(paths, b.path)
+        words = b.text.count(" ") + 1
+        sizes.append(words)
+        held[anchors[b.path]] = held.get(anchors[b.path], 0) + words * (4 * b.linked < len(b.text))
+    most = max(held.values(), default=0)
+    out = []
+    for b, words in zip(blocks, sizes, strict=True):
+        text, own = b.text, held[anchors[b.path]]
+        share = 3 if own == most else 2 if 2 * own >= most else 1 if 10 * own >= most else 0
+        out.append((min(7, words.bit_length()), min(3, 4 * b.linked // len(text)), text[-1] in ".!?…\"'”»:;", text[0].isupper(), words < 40 and CUES.search(text) is not None, share))
+    return out
 
 
 def text_features(kind: tuple) -> list[str]:
-    words, links, ends, upper, cue = kind
-    return [f"words:{words}", f"links:{links}", f"ends:{ends}", f"upper:{upper}", f"cue:{cue}", f"words:{words}:ends:{ends}", f"words:{words}:links:{links}", "always"]
+    words, links, ends, upper, cue, share = kind
+    return [f"words:{words}", f"links:{links}", f"ends:{ends}", f"upper:{upper}", f"cue:{cue}", f"share:{share}", f"words:{words}:ends:{ends}", f"words:{words}:links:{links}", f"share:{share}:words:{words}", f"share:{share}:links:{links}", "always"]
 
 
-def stated_labels(paths: Paths, blocks: Sequence[Block]) -> list[int] | None:
-    """Labels that the page's mark-up states, if it has an article or main element with text."""
-    labels = [stated(paths, b.path) or 0 for b in blocks]
-    return labels if any(labels) else None
+STYLES = ("semantic", "marked", "wild", "bare", "open")
 
 
-def compose_page(rng: random.Random) -> tuple[str, list[int]]:
+def compose_page(rng: random.Random, style: str | None = None) -> tuple[str, list[int]]:
     """A page in some layout, and the labels of its leaf blocks."""
     word = lambda: "".join(rng.choice(("th", "er", "on", "an", "re", "ti", "es", "ou", "ing", "ly", "be", "da", "mo", "ü", "é", "ch", "s", "a")) for _ in range(rng.randrange(1, 4)))
 
     def sentence(low: int, high: int) -> str:
         return " ".join(word() for _ in range(rng.randrange(low, high))).capitalize() + rng.choice((".", ".", ".", "!", "?", ""))
 
-    style = rng.choice(("semantic", "semantic", "marked", "marked", "bare", "open"))
+    style = style or rng.choice(("semantic", *STYLES))
     labels: list[int] = []
 
     def box(tag: str, marks: Sequence[str], inner: str) -> str:
-        if style == "semantic" and tag != "div" and rng.random() < 0.8:
+        if (style == "semantic" or style == "open" and rng.random() < 0.5) and tag != "div" and rng.random() < 0.8:
             mark = f' class="{rng.choice(marks)}"' if tag == "section" or rng.random() < 0.3 else ""
             return f"<{tag}{mark}>{inner}</{tag}>"
         if style == "bare" and rng.random() < 0.7:
             return f"<div>{inner}</div>"
-        name = rng.choice(marks)
+        name = word() + word() if style == "wild" else rng.choice(marks)
         name = rng.choice((name, f"site-{name}", f"{name}-box", f"{name} {word()}"))
         outer = rng.choice(("div", "div", "section"))
         return f'<{outer} {rng.choice(("class", "class", "id"))}="{name}">{inner}</{outer}>'
 
+    def said(low: int, high: int, start: Sequence[str] = ("",)) -> str:
+        """Text without an element of its own."""
+        labels.append(0)
+        return rng.choice(start) + " ".join(sentence(low, high) for _ in range(rng.randrange(1, 4)))
+
     def links(n: int) -> str:
         labels.extend([0] * n)
         items = "".join(f'<li><a href="/{i}">{sentence(1, 4).rstrip(".!?")}</a></li>' for i in range(n))
@@ -133,7 +159,11 @@ def compose_page(rng: random.Random) -> tuple[str, list[int]]:
         if kind == "header":
             return box("header", ("header", "masthead", "topbar", "banner"), lines(rng.randrange(1, 3), 1, 8, 0, ("h2", "p", "div")))
         if kind == "ad":
-            return box("div", ("ad", "ads", "advert", "sponsored", "promo", "advertisement"), lines(rng.randrange(1, 3), 3, 25, 0, ("p", "div"), 0.3))
+            if rng.random() < 0.3:
+                return box("div", ("ad", "advert", "promo"), said(3, 20))
+            return box("div", ("ad", "ads", "advert", "sponsored", "promo", "advertisement", "partner-offer"), lines(rng.randrange(1, 3), 3, 25, 0, ("p", "div"), 0.3))
+        if kind == "aside" and rng.random() < 0.3:
+            return box("aside", ("sidebar", "aside", "related", "rail"), said(1, 12))
         if kind == "aside":
             return box("aside", ("sidebar", "aside", "widget", "related", "recommended", "rail"), lines(1, 1, 4, 0, ("h3", "h4")) + (links(rng.randrange(2, 7)) if rng.random() < 0.6 else lines(rng.randrange(1, 3), 4, 25, 0)))
         if kind == "notice":
@@ -145,23 +175,39 @@ def compose_page(rng: random.Random) -> tuple[str, list[int]]:
             inner = f'<form action="/s"><label>{sentence(1, 6)}</label><input name="q"><button>{word()}</button></form>'
             return box("div", ("form", "search", "login", "subscribe"), inner) if rng.random() < 0.5 else inner
         if kind == "comments":
-            inner = lines(1, 1, 4, 0, ("h2", "h3"))
+            item = lambda: lines(1, 1, 4, 0, ("div", "h4")) + lines(rng.randrange(1, 3), 4, 40, 0)
+            marks = ("comments", "comment", "replies", "discussion", "responses", "respond", "feedback")
+            if rng.random() < 0.4:  # a list of comments with a mark of its own
+                inner = "".join(f"<li>{lines(rng.randrange(1, 3), 3, 40, 0) if rng.random() < 0.7 else item()}</li>" for _ in range(rng.randrange(1, 5)))
+                name = word() + word() if style == "wild" or rng.random() < 0.3 else rng.choice(marks)
+                return f'<{rng.choice(("ol", "ul"))} {rng.choice(("class", "id"))}="{name}">{inner}</ol></ul>'
+            inner = lines(rng.randrange(2), 1, 4, 0, ("h2", "h3"))
             for _ in range(rng.randrange(1, 5)):
-                inner += f'<div class="{rng.choice(("comment", "reply", "item"))}">{lines(1, 1, 4, 0, ("div", "h4"))}{lines(rng.randrange(1, 3), 4, 40, 0)}</div>'
-            return box("section", ("comments", "comment", "replies", "discussion"), inner)
+                inner += f'<div class="{rng.choice(("comment", "reply", "item", word()))}">{item()}</div>' if rng.random() < 0.6 else lines(rng.randrange(1, 3), 4, 40, 0)
+            return box("section", marks, inner)
+        if kind == "unknown":  # a box in the text whose mark says nothing
+            return f'<div {rng.choice(("class", "id"))}="{word()}{word()}">{lines(rng.randrange(1, 3), 3, 25, 0, ("p", "div"), 0.3)}</div>'
+        if rng.random() < 0.4:
+            return box("footer", ("footer", "bottom", "copyright", "legal"), said(1, 14, ("", "&copy; ", "Site &middot; ")))
         return box("footer", ("footer", "bottom", "copyright", "legal"), lines(1, 3, 18, 0, ("p", "div")) if rng.random() < 0.5 else links(rng.randrange(2, 6)))
 
+    def items(n: int) -> str:
+        tag = rng.choice(("ul", "ol"))
+        return f"<{tag}>{lines(n, 2, 16, 1, ('li',))}</{tag}>"
+
     def article() -> str:
         prose = rng.choice((("p",), ("p",), ("div",)))
-        inner = lines(rng.randrange(2), 2, 12, 1, ("h1", "h1", "h2")) + lines(1, 2, 60, 1, prose)
-        for _ in range(rng.randrange(14)):
-            inner += rng.choice((lambda: lines(rng.randrange(1, 5), 4, 90, 1, prose), lambda: lines(1, 2, 8, 1, ("h2", "h3")), lambda: lines(rng.randrange(2, 5), 2, 16, 1, ("li",)), lambda: lines(1, 5, 40, 1, ("blockquote", "figcaption", "pre", "td"))))()
-            if rng.random() < 0.08:
-                inner += other(rng.choice(("ad", "notice", "aside", "form")))
+        inner = lines(rng.randrange(2), 1, 12, 1, ("h1", "h1", "h2")) + lines(1, 1, rng.choice((6, 60, 60, 60)), 1, prose)
+        for _ in range(rng.randrange(rng.choice((1, 3, 14, 14)))):
+            inner += rng.choice((lambda: lines(rng.randrange(1, 5), 4, 90, 1, prose), lambda: lines(1, 2, 8, 1, ("h2", "h3")), lambda: items(rng.randrange(2, 5)), lambda: lines(1, 5, 40, 1, ("blockquote", "figcaption", "pre", "td"))))()
+            if rng.random() < 0.1:
+                inner += other(rng.choice(("ad", "notice", "aside", "form", "unknown")))
             if rng.random() < 0.05:
                 labels.append(1)
                 inner += f"<p>{rng.choice(('All rights reserved.', 'Licensed under the terms below.', 'Read more about it here.', word()))}"
-        if rng.random() < 0.2:
+        if style != "open" and rng.random() < 0.3:
+            inner = f'<div class="{rng.choice(("entry-content", "post-body", "text", word() + word()))}">{inner}</div>'
+        if rng.random() < 0.25:
             inner += other("comments")
         if rng.random() < 0.2:
             inner += other(rng.choice(("nav", "footer", "form")))
@@ -175,67 +221,62 @@ def compose_page(rng: random.Random) -> tuple[str, list[int]]:
     return f"<!DOCTYPE html><html><head><title>{sentence(2, 8)}</title><script>var a='<p>';</script></head><body>{body}</body></html>", labels
 
 
-def composed_chains(n: int, seed: int = 11) -> list[tuple[list[list[str]], list[int]]]:
+def composed_chains(n: int, seed: int = 11, style: str | None = None) -> list[tuple[list[list[str]], list[int]]]:
     rng, out = random.Random(seed), []
     while len(out) < n:
-        page, labels = compose_page(rng)
+        page, labels = compose_page(rng, style)
         paths = Paths()
         blocks = leaf_blocks(page, paths)
         if len(blocks) == len(labels):
-            out.append((_features(paths, blocks), labels))
+            out.append((features(paths, blocks), labels))
     return out
 
 
-def _features(paths: Paths, blocks: Sequence[Block]) -> list[list[str]]:
-    return [path_features(paths, b.path) + text_features(text_kind(b, stated(paths, b.path))) for b in blocks]
+def features(paths: Paths, blocks: Sequence[Block]) -> list[list[str]]:
+    return [path_features(paths, b.path) + text_features(kind) for b, kind in zip(blocks, text_kinds(paths, blocks, {}), strict=True)]
+
 
+@functools.lru_cache(maxsize=2)
+def fit_extractor(composed: int = COMPOSED, labelled: tuple[tuple[str, tuple[int, ...]], ...] = ()) -> Chain:
+    """Trains on composed pages, and on given (html, label of each of its leaf blocks) pairs."""
+    chains = composed_chains(composed)
+    for page, labels in labelled:
+        paths = Paths()
+        chains.append((features(paths, leaf_blocks(page, paths)), list(labels)))
+    return train([(f[i : i + FIT_BLOCKS], y[i : i + FIT_BLOCKS]) for f, y in chains for i in range(0, len(y), FIT_BLOCKS)])
 
-def _pieces(features: list[list[str]], labels: list[int]) -> list[tuple[list[list[str]], list[int]]]:
-    return [(features[i : i + FIT_BLOCKS], labels[i : i + FIT_BLOCKS]) for i in range(0, len(labels), FIT_BLOCKS)]
 
+class Memory:
+    """What is known of ancestor chains and kinds of text, kept between pages."""
 
-def fit_extractor(pages: DataFrame, max_pages: int = MAX_PAGES, composed: int = COMPOSED) -> Chain:
-    """Trains on composed pages and on at most ``max_pages`` pages whose mark-up states the article."""
-    fitting = pages.where(F.length("html") <= FIT_CHARS)
-    sample = hash_sample(fitting.select("html", F.xxhash64("page_id", "url").alias("place")), "place", max_pages, fitting.count())
-    chains = [p for c in composed_chains(composed) for p in _pieces(*c)]
-    for row in sample.collect():  # at most max_pages pages of FIT_CHARS characters
-        paths = Paths()
-        blocks = leaf_blocks(row.html, paths)
-        labels = stated_labels(paths, blocks)
-        if labels:
-            chains += _pieces(_features(paths, blocks), labels)
-    return train(chains)
+    def __init__(self):
+        self.paths, self.of_path, self.anchors, self.of_kind = Paths(), {}, {}, {}
 
 
-def main_text(page: str | None, chain: Chain, paths: Paths, of_path: dict[int, tuple[float, int | None]], of_kind: dict[tuple, float]) -> str:
-    """The article's text; the tables remember scores of ancestor chains and kinds of text between pages."""
-    blocks = leaf_blocks(page or "", paths)
+def main_text(page: str | None, chain: Chain, memory: Memory) -> str:
+    """The article's text."""
+    if len(memory.paths.parent) > 50_000:
+        memory.__init__()
+    blocks = leaf_blocks(page or "", memory.paths)
     get = chain.weights.get
     scores = []
-    for b in blocks:
-        if b.path not in of_path:
-            of_path[b.path] = (sum(get(f, 0.0) for f in path_features(paths, b.path)), stated(paths, b.path))
-        by_path, says = of_path[b.path]
-        kind = text_kind(b, says)
-        if kind not in of_kind:
-            of_kind[kind] = sum(get(f, 0.0) for f in text_features(kind))
-        scores.append(by_path + of_kind[kind])
+    for b, kind in zip(blocks, text_kinds(memory.paths, blocks, memory.anchors), strict=True):
+        if b.path not in memory.of_path:
+            memory.of_path[b.path] = sum(get(f, 0.0) for f in path_features(memory.paths, b.path))
+        if kind not in memory.of_kind:
+            memory.of_kind[kind] = sum(get(f, 0.0) for f in text_features(kind))
+        scores.append(memory.of_path[b.path] + memory.of_kind[kind])
     return " ".join(b.text for b, label in zip(blocks, chain.decode(scores), strict=True) if label)
 
 
 def extract_pages(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    sent = pages.sparkSession.sparkContext.broadcast(chain or fit_extractor(pages))  # some thousand weights
+    sent = pages.sparkSession.sparkContext.broadcast(chain or fit_extractor())  # some thousand weights
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, paths, of_path, of_kind = sent.value, Paths(), {}, {}
+        own, memory = sent.value, Memory()
         for batch in batches:
-            texts = []
-            for page in batch.column(2):
-                if len(paths.parent) > 50_000:
-                    paths, of_path = Paths(), {}
-                texts.append(main_text(page.as_py(), own, paths, of_path, of_kind))
+            texts = [main_text(page.as_py(), own, memory) for page in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = {n: pages.schema[n].dataType.simpleString() for n in ("page_id", "url")}

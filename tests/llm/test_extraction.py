@@ -12,7 +12,7 @@ import pytest
 from facetmill.llm.common import table
 from facetmill.llm.crf import Chain, _sum_product
 from facetmill.llm.dom import Paths, leaf_blocks
-from facetmill.llm.extraction import composed_chains, extract_pages, fit_extractor
+from facetmill.llm.extraction import STYLES, composed_chains, extract_pages, fit_extractor
 
 SF = "/root/testdata/sf0.01"
 
@@ -57,8 +57,8 @@ def test_blocks(page, want):
 
 
 @pytest.fixture(scope="module")
-def chain(spark):
-    return fit_extractor(table(spark, SF, "pages"))
+def chain():
+    return fit_extractor()
 
 
 def test_whole_table(spark, chain):
@@ -73,19 +73,40 @@ def test_whole_table(spark, chain):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
-def test_composed_pages_not_seen_in_the_fit(chain):
-    wrong = total = 0
-    for features, labels in composed_chains(200, seed=5):
+@pytest.mark.parametrize("style", STYLES)
+def test_composed_pages_not_seen_in_the_fit(chain, style):
+    """F1 over blocks; where no mark and no element says anything, texts and containers have to do."""
+    hit = said = there = 0
+    for features, labels in composed_chains(150, seed=5, style=style):
         got = chain.decode([sum(chain.weights.get(f, 0.0) for f in b) for b in features])
-        wrong += sum(a != b for a, b in zip(got, labels, strict=True))
-        total += len(labels)
-    assert wrong / total < 0.03
+        hit += sum(a and b for a, b in zip(got, labels, strict=True))
+        said, there = said + sum(got), there + sum(labels)
+    assert 2 * hit / (said + there) > (0.85 if style in ("wild", "bare") else 0.97)
+
+
+def test_given_labels_are_learned():
+    """Pages of one's own decide where composed ones do not."""
+    page = "<div class='qx'>Alpha beta.</div><div class='zz'>Gamma delta.</div>" * 3
+    given = ((page, (0, 1) * 3),) * 40
+    own = fit_extractor(composed=20, labelled=given)
+    assert own.decode([sum(own.weights.get(f, 0.0) for f in b) for b in features_of(page)]) == [0, 1] * 3
+
+
+def features_of(page):
+    from facetmill.llm.extraction import features
+
+    paths = Paths()
+    return features(paths, leaf_blocks(page, paths))
 
 
 PAGES = {
     1: ('<body><header><h1>Site</h1></header><nav><a href=a>Home</a></nav><main><h1>Title here</h1><p>First paragraph of the text, which is long enough.</p><aside>Side note</aside><p>Second a<b>b</b>c &lt;x&gt;.</p></main><section id="comments"><h2>Comments</h2><p>I liked this article a lot, thanks.</p></section><div class="cookie-banner">We use cookies on this site.</div><footer>Me</footer></body>', "Title here First paragraph of the text, which is long enough. Second abc <x>."),
     2: ('<div class="sidebar"><p>Links and more links in the side bar of the page.</p></div><div class="post-content"><p>Hello world, this is text.</p><p>More text of the article.</p></div><form><p>Send me</p></form>', "Hello world, this is text. More text of the article."),
     3: (None, ""), 4: ("", ""), 5: ("<script>x</script>", ""), 6: ("<p>Just a paragraph.</p><p>And another one.</p>", "Just a paragraph. And another one."),
+    8: ("<html><body><h1>On rivers</h1><p>The river is long and wide, and it runs through the whole of the country.</p><p>It has many fish, and people live along it.</p><div id=\"responses\"><p>I liked this a lot, thank you for it.</p><p>So did I, very good.</p></div></body></html>", "On rivers The river is long and wide, and it runs through the whole of the country. It has many fish, and people live along it."),
+    9: ("<article><h1>On rivers</h1><p>The river is long and wide, and it runs through the whole of the country.</p><p>It has many fish.</p><ol id=\"respond\"><li>I liked this a lot, thank you for it.</li></ol></article>", "On rivers The river is long and wide, and it runs through the whole of the country. It has many fish."),
+    10: ("<article><h1>On rivers</h1><p>The river is long and wide, and it runs through the whole of the country.</p><div class=\"partner-offer\"><p>Buy two boats and pay for one.</p></div><p>It has many fish.</p></article>", "On rivers The river is long and wide, and it runs through the whole of the country. It has many fish."),
+    11: ("<html><head><title>t</title><article><p>Text of a page without end tags of its head.<p>More of it.", "Text of a page without end tags of its head. More of it."),
     7: ("<article>" + "<p>All of a long text stays.</p>" * 3000 + "<footer>Filed</footer></article>", " ".join(["All of a long text stays."] * 3000)),
 }
 
