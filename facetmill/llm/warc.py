@@ -136,13 +136,14 @@ def write_archives(pages: DataFrame, out: str, frame_bytes: int = FRAME_BYTES, b
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, path = pafs.FileSystem.from_uri(folder)
         filesystem.create_dir(path, recursive=True)
-        task, number, bundle = TaskContext.get().partitionId(), 0, None
+        # Only the index of the attempt that counts is kept, so each attempt of a task writes bundles of its own.
+        task, attempt, number, bundle = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0, None
         rows, plain = [], bytearray()
 
         def end_frame() -> list[tuple]:
             nonlocal bundle, number, plain
             if bundle is None:
-                bundle, number = _Bundle(filesystem, path, f"part-{task:06d}-{number:04d}.warc.zst"), number + 1
+                bundle, number = _Bundle(filesystem, path, f"part-{task:06d}-{attempt}-{number:04d}.warc.zst"), number + 1
             at, frame = bundle.size, len(bundle.frames)
             bundle.add(bytes(plain))
             done = [(r, p, bundle.name, frame, at, bundle.size - at, o) for r, p, o in rows]
