@@ -12,7 +12,8 @@ order until one would exceed the quota, and that bucket is looked at document
 by document (taken in seeded order if it still fits). With the room left this
 is repeated on the later buckets' documents that still fit, until there are
 none: the result is that of trying every document in order. A source with a
-third of all rows is thus spread over up to 4096 buckets.
+third of all rows is thus spread over 4096 buckets, or, if it has more than
+16 million rows, as many as the square root of its rows.
 
 Defined results: a null text has no words; a null source is a source of its
 own, last in order; rows with equal id and text are taken or left together;
@@ -33,7 +34,8 @@ from .common import n_words, written
 
 #: Rows of the per-source table up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 100_000
-MAX_BUCKETS = 4096
+#: Buckets of a source: about one for ROWS_PER_BUCKET rows, but no more than this or the square root of its rows.
+LEAST_MOST_BUCKETS = 4096
 ROWS_PER_BUCKET = 512
 #: Rows of a source that a round looks at one by one (its first edge bucket in any case).
 EDGE_ROWS = 16_384
@@ -120,7 +122,7 @@ def plan_mix(rows: DataFrame, weights: Sequence[float], budget_ratio: float, max
         water_fill(sources, weights, budget_ratio, max_epochs)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
         .withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("n_buckets", F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("n") / ROWS_PER_BUCKET)).cast("long"))
+        .withColumn("n_buckets", F.least(F.greatest(F.lit(LEAST_MOST_BUCKETS), F.ceil(F.sqrt("n"))), F.ceil(F.col("n") / ROWS_PER_BUCKET)).cast("long"))
         .drop("n")
     )
     sources = written(sources, "mix-sources")
