@@ -51,6 +51,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import written
@@ -190,6 +191,19 @@ def canopies(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     return own.unionByName(joined)
 
 
+def with_set_key(rows: DataFrame, k: int) -> DataFrame:
+    """Adds set_key and wordless (the set is empty) to rows with a column text."""
+    at = rows.columns.index("text")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _portions(batches, at):
+            sets = shingle_sets(batch.column(at).to_pylist(), k)
+            keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys, pa.array([not len(s) for s in sets], pa.bool_())], names=[*batch.schema.names, "set_key", "wordless"])
+
+    return rows.mapInArrow(digests, T.StructType([*rows.schema.fields, T.StructField("set_key", T.BinaryType()), T.StructField("wordless", T.BooleanType())]))
+
+
 def stand_in() -> Column:
     """The number, below zero, of a class without any id."""
     return -1 - F.shiftrightunsigned(F.xxhash64("set_key"), 1)
@@ -340,8 +354,8 @@ def remaining_links(rest: DataFrame, docs: DataFrame, roots: DataFrame, k: int,
     return roots if more.isEmpty() else extended_components(roots, more)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document; links are pairs whose shingle sets reach ``percent`` (80 at least)."""
+def rooted_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, set_key, group (the smallest node of the row's component; null for an empty set) and component_id of every document."""
     if percent < 80:
         raise ValueError("the tables are made for similarities of 0.8 and more")
     rows = written(signatures(docs, k), "neardup-signatures")
@@ -362,30 +376,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if not rest.isEmpty():
         roots = written(remaining_links(rest, docs, roots, k, percent), "neardup-roots")
     named = roots.join(classes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = roots.join(named, "root").select("node", "component_id")
-    of_class = classes.join(by_node, "node", "left").select("set_key", F.coalesce("component_id", "least").alias("component_id"))
+    by_node = roots.join(named, "root").select("node", "root", "component_id")
+    of_class = classes.join(by_node, "node", "left").select("set_key", F.coalesce("root", "node").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
     placed = rows.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return placed.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document; links are pairs whose shingle sets reach ``percent`` (80 at least)."""
+    found = rooted_rows(docs, k, percent)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one of each group of near duplicates left, with the columns of ``docs``.
 
-    The document with the group's smallest id stays; of rows that share an id
-    one stays. Rows without an id cannot be named, and stay.
+    The document with the group's smallest id stays, of a group without ids
+    any one. Where the smallest id is repeated, its rows are told apart by their
+    sets of shingles, and one of each set stays. Documents without words all stay.
     """
-    found = written(near_duplicates(docs, k, percent).select("doc_id", "kept"), "neardup-kept")
-    gone = written(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "neardup-gone")
-    if gone.count() <= BROADCAST_NODES:
-        gone = F.broadcast(gone)
-    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("row_id"))
-    left = plain.join(gone, F.col("row_id") == F.col("gone_id"), "left_anti")
-    again = found.where("doc_id is not null and kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice_id"))
-    if not again.isEmpty():
-        again = written(again, "neardup-twice")
-        single = left.join(again, F.col("row_id") == F.col("twice_id"), "left_anti")
-        one = Window.partitionBy("row_id").orderBy(F.xxhash64("row"))
-        twice = left.join(again, F.col("row_id") == F.col("twice_id"), "left_semi").withColumn("at", F.row_number().over(one)).where("at = 1").drop("at")
-        left = single.unionByName(twice)
+    found = written(rooted_rows(docs, k, percent), "neardup-found")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("away"))
+    ids = ids.where("n > 1 or doc_id is null or away").select(F.col("doc_id").alias("known_id"), (F.col("doc_id").isNull() | (F.col("n") > 1)).alias("odd"))
+    ids = written(ids, "neardup-gone")
+    near = F.broadcast if ids.count() <= BROADCAST_NODES else lambda df: df
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    left = plain.join(near(ids), F.col("doc_id").eqNullSafe(F.col("known_id")), "left_anti")
+    odd = written(ids.where("odd"), "neardup-odd")
+    if not odd.isEmpty():
+        of_odd = found.join(odd, F.col("doc_id").eqNullSafe(F.col("known_id")), "left_semi")
+        named = of_odd.where("n_shingles > 0 and doc_id = component_id").select("doc_id", "set_key").distinct()
+        unnamed = of_odd.where("n_shingles > 0 and component_id is null").groupBy("group").agg(F.min("set_key").alias("set_key")).select(F.lit(None).cast("long").alias("doc_id"), "set_key")
+        chosen = named.unionByName(unnamed).withColumnsRenamed({"doc_id": "one_id", "set_key": "one_key"})
+        rows = with_set_key(plain.join(odd, F.col("doc_id").eqNullSafe(F.col("known_id")), "left_semi"), k)
+        single = rows.where("not wordless").groupBy("doc_id", "set_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        stay = single.join(chosen, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("set_key") == F.col("one_key")), "left_semi").select("row")
+        stay = stay.unionByName(rows.where("wordless").select("row"))
+        left = left.select("row").unionByName(stay)
     return left.select("row.*")

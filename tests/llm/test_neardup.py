@@ -184,6 +184,15 @@ def test_prefixes_of_differences_never_miss_a_link():
     assert linked > 200
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    """Repeated and missing ids: rows are told apart by their text too."""
+    a, b, c = "alpha beta gamma delta eps", "one two three four five", "red green blue black white"
+    rows = [(5, a, 1), (5, b, 2), (3, b, 3), (None, c, 4), (None, c, 5), (None, c + " !", 6), (None, a, 7), (7, "", 8), (7, "", 9), (None, None, 10), (8, "same id", 11), (8, "same id", 11), (9, "x y z", 12), (9, "u v w", 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    left = sorted(r.row for r in drop_near_duplicates(docs).collect())
+    assert [x for x in left if x not in (4, 5)] == [1, 3, 6, 8, 9, 10, 11, 12, 13] and sum(x in (4, 5) for x in left) == 1
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).count() == 0
