@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders made by shared_dir and not yet deleted, in order.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's path below ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -25,7 +31,32 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="facetmill-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes at its end the folders made meanwhile, but for tables written by the function that it gives.
+
+    What is returned lazily may read such folders, so this is for callers that
+    write their result inside it.
+    """
+    start, kept = len(_made), set()
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        kept.add(_made[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        gone = [path for path in _made[start:] if path not in kept]
+        _made[start:] = [path for path in _made[start:] if path in kept]
+        for path in gone:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
