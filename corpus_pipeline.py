@@ -1,14 +1,15 @@
 """From raw documents to packed windows: quality, near duplicates, source mix, packing.
 
 Each stage works on all that its predecessor kept, written as Parquet in the
-shared folder and read again. All but the last return the columns of documents.
+shared folder and read again; ``run`` then deletes the stage's intermediate
+tables. All but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetmill.llm.common import table, written
+from facetmill.llm.common import scratch, table
 from facetmill.llm.mixing import repeat_documents
 from facetmill.llm.neardup import drop_near_duplicates
 from facetmill.llm.packing import pack_documents
@@ -46,5 +47,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
