@@ -11,7 +11,7 @@ its cosine to every labelled vector is computed exactly, block by block, and
 the labels of the nearest ones vote with their similarity as weight.
 
 Only narrow work is done on the documents: no shuffle, whatever their number.
-A text is read in parts of about a megabyte, cut at white space, so what a task
+A text is read in parts of about 256 KiB, cut at white space, so what a task
 holds besides is a few bytes for each of its words.
 
 Defined results: null and empty texts, and any text if there is no labelled
@@ -94,6 +94,12 @@ def term_vector(text: str) -> np.ndarray:
     return out
 
 
+def weighted(terms: np.ndarray, weight: np.ndarray, rows: int = 512) -> Iterator[np.ndarray]:
+    """The terms times their weights, some rows at a time."""
+    for at in range(0, len(terms), rows):
+        yield terms[at : at + rows] * weight
+
+
 @dataclass
 class Model:
     weight: np.ndarray  # per term
@@ -103,7 +109,7 @@ class Model:
     prior: float
 
     def project(self, terms: np.ndarray) -> np.ndarray:
-        z = (terms * self.weight) @ self.basis
+        z = np.concatenate([x @ self.basis for x in weighted(terms, self.weight)] or [np.zeros((0, self.basis.shape[1]), np.float32)])
         norm = np.linalg.norm(z, axis=1, keepdims=True)
         return np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
 
@@ -125,12 +131,12 @@ def fit_vectors(terms: np.ndarray, labels: np.ndarray, rank: int = RANK, rounds:
     n = len(labels)
     if not n:
         return Model(np.ones(N_TERMS, np.float32), np.zeros((N_TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 1.0)
-    weight = (1 + np.log((1 + n) / (1 + (terms > 0).sum(0)))).astype(np.float32)
-    x = terms * weight
-    basis = np.random.default_rng(7).standard_normal((x.shape[1], min(rank + 12, n))).astype(np.float32)
+    seen = sum((x > 0).sum(0) for x in weighted(terms, np.ones(terms.shape[1], np.float32)))
+    weight = (1 + np.log((1 + n) / (1 + seen))).astype(np.float32)
+    basis = np.random.default_rng(7).standard_normal((terms.shape[1], min(rank + 12, n))).astype(np.float32)
     for _ in range(rounds):
-        basis = np.linalg.qr(x.T @ (x @ basis))[0]
-    turn = np.linalg.svd(x @ basis, full_matrices=False)[2].T
+        basis = np.linalg.qr(sum(x.T @ (x @ basis) for x in weighted(terms, weight)))[0]
+    turn = np.linalg.svd(np.concatenate([x @ basis for x in weighted(terms, weight)]), full_matrices=False)[2].T
     basis = np.ascontiguousarray((basis @ turn)[:, : min(rank, n)])
     model = Model(weight, basis, np.zeros((0, 1), np.float32), labels.astype(np.float64), float(labels.mean()))
     model.vectors = model.project(terms)
@@ -150,19 +156,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = [term_vector(t.as_py() or "").tobytes() for t in batch.column(1)]
+            terms = [term_vector(t.as_py() or "").astype(np.float16).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary())], names=["quality", "terms"])
 
     known = docs.where("doc_id is not null").select("doc_id", "text", order.alias("place"))
     labelled = written(known.select("doc_id", "place").join(marks, "doc_id"), "quality-labelled")
     chosen = hash_sample(labelled, "place", max_labelled, labelled.count())
     texts = known.join(chosen, ["doc_id", "place"]).orderBy("place", "doc_id", "quality").select("quality", "text")
-    rows = texts.mapInArrow(vectors, "quality int, terms binary").toArrow()  # at most max_labelled vectors of N_TERMS numbers
-    terms = np.frombuffer(b"".join(rows.column("terms").to_pylist()), dtype=np.float32).reshape(-1, N_TERMS)
-    return fit_vectors(terms, rows.column("quality").to_numpy())
+    rows = texts.mapInArrow(vectors, "quality int, terms binary").toArrow()  # at most max_labelled vectors of N_TERMS short numbers
+    terms = np.empty((rows.num_rows, N_TERMS), dtype=np.float16)
+    for i, value in enumerate(rows.column("terms")):
+        terms[i] = np.frombuffer(value.as_buffer(), dtype=np.float16)
+    marks = rows.column("quality").to_numpy()
+    del rows
+    return fit_vectors(terms, marks)
 
 
-def score_quality(docs: DataFrame, model: Model, out: str = "quality_score", block: int = 256) -> DataFrame:
+def score_quality(docs: DataFrame, model: Model, out: str = "quality_score", block: int = 128) -> DataFrame:
     """The rows of ``docs`` with their score in a new last column."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

@@ -14,7 +14,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Bytes of text hashed at once, but for a longer single word.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
