@@ -29,7 +29,8 @@ with a probability below 1 in 10,000; above that, it falls quickly.
    those of different components among each other. Candidates are verified on
    their differences, which give the exact similarity. Members that are equally
    far from the center, but have little else in common, never meet, so their
-   number does not count by its square.
+   number does not count by its square. Nor do two members meet by a difference
+   behind which either has fewer left than they must share.
 
 Full sets are made again from the texts for the documents that need them only.
 
@@ -293,13 +294,13 @@ def differences(rest: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
 
 
 def postings(diffs: DataFrame) -> DataFrame:
-    """(center, token, node, outside, size, far, first): each member under those of its rarest differences by which it can meet another; ``first``: of the shorter prefix."""
+    """(center, token, node, outside, size, far, at, first): each member under those of its rarest differences by which it can meet another; ``at``: the difference's place among all of the member's; ``first``: of the shorter prefix."""
     tokens = diffs.where("far > 0").select("center", "node", "outside", "size", "far", "few", "many", F.xxhash64("diff").alias("which"), F.explode("diff").alias("token"))
     shared = tokens.groupBy("center", "token").agg(F.count("*").alias("n"), F.max("outside").alias("useful")).where("n > 1 and useful").drop("useful")
     # Differences by which nobody outside can be met come first in the order, and need no rows.
     own = Window.partitionBy("center", "node", "which")  # rows of one id may have different texts
     placed = tokens.join(shared, ["center", "token"]).withColumn("at", F.row_number().over(own.orderBy("n", "token"))).withColumn("at", F.col("at") + F.col("far") - F.count("*").over(own))
-    return placed.where("at <= many").select("center", "token", "node", "outside", "size", "far", (F.col("at") <= F.col("few")).alias("first"))
+    return placed.where("at <= many").select("center", "token", "node", "outside", "size", "far", "at", (F.col("at") <= F.col("few")).alias("first"))
 
 
 def linked_by_differences(pairs: DataFrame, diffs: DataFrame, percent: int) -> DataFrame:
@@ -324,14 +325,20 @@ def similar_size(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def least_shared(a: str, b: str, percent: int) -> Column:
+    """The number of differences that two members (names of their rows) must share to be linked, from their sizes and numbers of differences."""
+    return (F.col(f"{a}.far") + F.col(f"{b}.far") - (100 - percent) / (100 + percent) * (F.col(f"{a}.size") + F.col(f"{b}.size"))) / 2 - 1e-6
+
+
 def remaining_links(rest: DataFrame, docs: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:
     """``roots`` extended by the links inside canopies of (center, node, outside) of which one end is outside the center's component."""
     diffs = written(differences(rest, docs, k, percent), "neardup-differences")
     lists = written(postings(diffs), "neardup-postings")
-    pivots = lists.groupBy("center", "token").agg(F.min_by(F.struct("node", "outside", "size"), "node").alias("pivot"))
+    pivots = lists.groupBy("center", "token").agg(F.min_by(F.struct("node", "outside", "size", "far"), "node").alias("pivot"))
     star = (
-        lists.join(pivots, ["center", "token"])
-        .where((F.col("node") != F.col("pivot.node")) & (F.col("outside") | F.col("pivot.outside")) & similar_size("size", "pivot.size", percent))
+        lists.alias("own").join(pivots, ["center", "token"])
+        .where((F.col("node") != F.col("pivot.node")) & (F.col("outside") | F.col("pivot.outside")) & similar_size("own.size", "pivot.size", percent))
+        .where(least_shared("own", "pivot", percent) <= F.least("own.far", "pivot.far"))
         .select("center", F.col("node").alias("x"), F.col("pivot.node").alias("y"))
         .distinct()
     )
@@ -344,9 +351,12 @@ def remaining_links(rest: DataFrame, docs: DataFrame, roots: DataFrame, k: int,
         return roots
     few, many = open_lists.where("first").alias("few"), open_lists.alias("many")
     meet = (F.col("few.center") == F.col("many.center")) & (F.col("few.token") == F.col("many.token"))
+    # If this is the first difference that they share, they share no more than what comes after it.
+    can_share = 1 + F.least(F.col("few.far") - F.col("few.at"), F.col("many.far") - F.col("many.at"))
     pairs = (
         few.join(many, meet)
         .where((F.struct("few.far", "few.node") < F.struct("many.far", "many.node")) & (F.col("few.root") != F.col("many.root")) & (F.col("few.outside") | F.col("many.outside")) & similar_size("few.size", "many.size", percent))
+        .where(can_share >= least_shared("few", "many", percent))
         .select(F.col("few.center").alias("center"), F.col("few.node").alias("x"), F.col("many.node").alias("y"))
         .distinct()
     )
