@@ -13,6 +13,7 @@ from ..operators import features as feat
 from ..operators import kmeans, knn, metrics, selection, softmax, svm
 from ..operators.splits import kfold, nested_folds, stratified_holdout
 from ..sources.images import cropped, described, prediction_line
+from ..sources.shared import written
 from ..sources.vectors import read_embeddings, trainable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,7 +57,7 @@ def predicted(p: int, k: int) -> str:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    split = stratified_holdout(trainable(read_embeddings(spark, sf_dir)))
+    split = written(stratified_holdout(trainable(read_embeddings(spark, sf_dir))), "holdout")
     return split.where("not is_test").drop("is_test"), split.where("is_test").drop("is_test")
 
 

@@ -46,24 +46,32 @@ def nearest(queries: np.ndarray, train: np.ndarray, ids: np.ndarray, k: int, p:
 
 
 def neighbours(train: DataFrame, queries: DataFrame, k: int, p: int = 2, by: Sequence[str] = ()) -> DataFrame:
-    """(by…, query_id, rank, train_id, label, dist): the k nearest training rows of each query of the same group.
+    """(by…, query_id, rank, train_id, label, dist): the k nearest training rows of each query of the same group."""
+    return neighbours_by_norm(train, queries, k, (p,), by).drop("p")
+
+
+def neighbours_by_norm(train: DataFrame, queries: DataFrame, k: int, ps: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """(by…, p, query_id, rank, train_id, label, dist): the k nearest training rows of each query of the same group, for every norm.
 
     Training rows are dealt into shards and queries into blocks; a task takes
     one shard and one block, finds its k nearest, and the best of all shards
     are chosen by a window. Only as many copies of rows travel as the grid of
-    shards and blocks needs; nothing is collected or broadcast.
+    shards and blocks needs; nothing is collected or broadcast. Both tables are
+    read twice, once to count them, so they should not be costly to make.
     """
     spark = train.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(1, train.select(*by).distinct().count()) if by else 1
-    shards = max(1, -(-train.count() // (groups * SHARD_ROWS)))
-    blocks = max(1, min(parts // max(1, shards * groups) or 1, -(-queries.count() // (groups * QUERY_ROWS))))
+    both = train.select(*by, F.lit(1).alias("_n")).unionByName(queries.select(*by, F.lit(0).alias("_n")))
+    size = both.groupBy(*by).agg(F.sum("_n").alias("t"), F.sum(1 - F.col("_n")).alias("q")).agg(F.sum((F.col("t") > 0).cast("int")).alias("groups"), F.sum("t").alias("t"), F.sum("q").alias("q")).first()
+    groups = max(1, size.groups or 0)
+    shards = max(1, -(-(size.t or 0) // (groups * SHARD_ROWS)))
+    blocks = max(1, min(parts // max(1, shards * groups) or 1, -(-(size.q or 0) // (groups * QUERY_ROWS))))
     cell = lambda s, b: F.concat_ws("|", *[F.col(c).cast("string") for c in by], s.cast("string"), b.cast("string"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = train.select(*by, "id", "features", "label").withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("_b", every(blocks)).withColumn("_kind", F.lit(0))
     right = queries.select(*by, "id", "features").withColumn("label", F.lit(0)).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("_s", every(shards)).withColumn("_kind", F.lit(1))
     rows = left.withColumn("_b", F.col("_b").cast("long")).unionByName(right.withColumn("_s", F.col("_s").cast("long")).select(left.columns)).withColumn("_cell", cell(F.col("_s"), F.col("_b"))).drop("_s", "_b")
-    names = [*by, "query_id", "train_id", "label", "dist"]
+    names = [*by, "p", "query_id", "train_id", "label", "dist"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, known = None, [], None
@@ -84,17 +92,19 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, p: int = 2, by: Seq
                         all_rows = pa.concat_tables(held)
                         known = (matrix(all_rows.column("features")), all_rows.column("id").to_numpy(), all_rows.column("label").to_numpy())
                     x, ids, labels = known
-                    found = list(nearest(matrix(part.column("features")), x, ids, k, p))
-                    query = np.concatenate([np.full(len(n), i) for i, n, _ in found])
-                    near, dist = np.concatenate([n for _, n, _ in found]), np.concatenate([d for _, _, d in found])
-                    taken = part.take(pa.array(query))
-                    yield from pa.table([*[taken.column(c) for c in by], taken.column("id"), pa.array(ids[near]), pa.array(labels[near]), pa.array(dist)], names=names).combine_chunks().to_batches()
+                    block = matrix(part.column("features"))
+                    for p in ps:
+                        found = list(nearest(block, x, ids, k, p))
+                        query = np.concatenate([np.full(len(n), i) for i, n, _ in found])
+                        near, dist = np.concatenate([n for _, n, _ in found]), np.concatenate([d for _, _, d in found])
+                        taken = part.take(pa.array(query))
+                        yield from pa.table([*[taken.column(c) for c in by], pa.array(np.full(len(query), p, dtype=np.int32)), taken.column("id"), pa.array(ids[near]), pa.array(labels[near]), pa.array(dist)], names=names).combine_chunks().to_batches()
                 at = end
 
-    schema = T.StructType([*[train.schema[c] for c in by], T.StructField("query_id", T.LongType()), T.StructField("train_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("dist", T.DoubleType())])
+    schema = T.StructType([*[train.schema[c] for c in by], T.StructField("p", T.IntegerType()), T.StructField("query_id", T.LongType()), T.StructField("train_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("dist", T.DoubleType())])
     found = rows.repartition(max(parts, 1), "_cell").sortWithinPartitions("_cell", "_kind").mapInArrow(search, schema)
-    order = Window.partitionBy(*by, "query_id").orderBy("dist", "train_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, "query_id", "rank", "train_id", "label", "dist")
+    order = Window.partitionBy(*by, "p", "query_id").orderBy("dist", "train_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, "p", "query_id", "rank", "train_id", "label", "dist")
 
 
 def vote(near: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -109,14 +119,10 @@ def knn_predict(train: DataFrame, queries: DataFrame, k: int = 5, p: int = 2, by
 
 
 def knn_sweep(train: DataFrame, queries: DataFrame, ks: Sequence[int] = (1, 3, 5, 11), ps: Sequence[int] = (1, 2, 3), by: Sequence[str] = ()) -> DataFrame:
-    """(by…, p, k, id, prediction) for every setting; one search per p serves all k."""
-    out = None
-    for p in ps:
-        near = neighbours(train, queries, max(ks), p, by).withColumn("p", F.lit(p))
-        near = near.withColumn("k", F.explode(F.lit(list(ks)))).where(F.col("rank") <= F.col("k"))
-        voted = vote(near, [*by, "p", "k"])
-        out = voted if out is None else out.unionByName(voted)
-    return out
+    """(by…, p, k, id, prediction) for every setting; one search serves all of them."""
+    near = neighbours_by_norm(train, queries, max(ks), ps, by)
+    near = near.withColumn("k", F.explode(F.lit(list(ks)))).where(F.col("rank") <= F.col("k"))
+    return vote(near, [*by, "p", "k"])
 
 
 class KNN:
