@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -19,3 +22,41 @@ def arrays(rows: np.ndarray) -> pa.ListArray:
     rows = np.ascontiguousarray(rows, dtype=np.float64)
     width = rows.shape[1] if rows.ndim == 2 else 0
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(rows.ravel()))
+
+
+def summed(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of a column ``part``, arrays of ``size`` doubles as bytes: of shares in a few tasks, then in one, whose result comes to the driver."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for part in batch.column(0):
+                total += np.frombuffer(part.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    shares = parts.repartition(8).mapInArrow(merge, "part binary")
+    return np.frombuffer(shares.repartition(1).mapInArrow(merge, "part binary").first().part)
+
+
+def averaged(df: DataFrame, state: np.ndarray, one_pass: Callable[[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]], int], np.ndarray], rounds: int) -> np.ndarray:
+    """Rounds of passes over (features, label): every task starts from the same numbers, and what they arrive at is averaged by their rows."""
+    for number in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], start=state, number=number) -> Iterator[pa.RecordBatch]:
+            n = 0
+
+            def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                nonlocal n
+                for batch in batches:
+                    if batch.num_rows:
+                        n += batch.num_rows
+                        yield matrix(batch.column(0)), batch.column(1).to_numpy()
+
+            own = one_pass(start.copy(), rows(), number)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([np.append(own.ravel() * n, n).tobytes()], pa.binary())], names=["part"])
+
+        total = summed(df.select("features", "label").mapInArrow(run, "part binary"), state.size + 1)
+        if total[-1]:
+            state = (total[:-1] / total[-1]).reshape(state.shape)
+    return state

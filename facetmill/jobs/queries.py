@@ -372,6 +372,14 @@ def label_map_accuracy(spark, sf_dir):
     return kmeans.mapped_accuracy(kmeans.assign(train, centroids), kmeans.assign(test, centroids))
 
 
+@query()
+def kmeans_converged(spark, sf_dir):
+    """Clusters as they stand when no centroid moves any more, with the number of rounds and the inertia."""
+    df = read_embeddings(spark, sf_dir)
+    model = kmeans.fit_kmeans(df, 28, max_iter=300)
+    return kmeans.inertia(df, model.centroids).select(F.lit(model.n_iter).alias("n_iter"), six("inertia"))
+
+
 # --- softmax regression ---
 
 REG, LR = 1e-4, 0.5
@@ -427,7 +435,8 @@ def softmax_fit(spark, sf_dir):
 @query()
 def softmax_sweep(spark, sf_dir):
     train, test = parts(spark, sf_dir)
-    family = selection.SoftmaxFamily([{"lr": lr, "reg": 1e-4, "epochs": 60, "batch": b} for b in (64, 128, None) for lr in (0.01, 0.05, 0.1)])
+    grid = [(0.1, 1e-4, 64), (0.1, 1e-3, 64), (0.1, 1e-2, 64), (0.05, 1e-4, 64), (0.05, 1e-3, 64), (0.01, 1e-4, 64), (0.01, 1e-3, 64), (0.1, 1e-4, 128), (0.1, 1e-4, None)]
+    family = selection.SoftmaxFamily([{"lr": lr, "reg": reg, "epochs": 1000, "batch": b} for lr, reg, b in grid])
     scores = selection.scored(family.predict(train, test, ()), test, ())
     return metrics.leaderboard(scores.withColumn("config", F.col("config").cast("int")))
 
@@ -449,7 +458,8 @@ def svm_predict(spark, sf_dir):
 @query()
 def svm_sweep(spark, sf_dir):
     train, test = parts(spark, sf_dir)
-    grid = [{"kernel": "linear", "c": c} for c in (0.1, 1.0, 10.0)] + [{"kernel": "rbf", "c": c, "gamma": g} for c in (1.0, 5.0) for g in ("scale", "auto")] + [{"kernel": "poly", "c": 1.0}]
+    grid = [{"kernel": "linear", "c": c} for c in (0.1, 1.0, 10.0)] + [{"kernel": "rbf", "c": c} for c in (0.1, 1.0, 5.0, 10.0, 50.0)]
+    grid += [{"kernel": "rbf", "c": c, "gamma": "auto"} for c in (1.0, 5.0)] + [{"kernel": "poly", "c": c} for c in (1.0, 5.0, 10.0)]
     scores = selection.scored(selection.SVMFamily(grid).predict(train, test, ()), test, ())
     return metrics.leaderboard(scores.withColumn("config", F.col("config").cast("int")))
 
@@ -505,3 +515,14 @@ def model_table(spark, sf_dir):
     select cast(fold as int) as fold, k, round(avg(case when truth = label then 1.0 else 0.0 end), 6) as accuracy from pr where o = 1 group by fold, k""")
 def knn_cross_validation(spark, sf_dir):
     return config_to_k(selection.cross_validate(read_embeddings(spark, sf_dir), knn_family())).select("fold", "k", six("accuracy"))
+
+
+@query()
+def model_comparison(spark, sf_dir):
+    """Nested cross-validation of all three families with all their settings, and the best of them."""
+    families = [
+        selection.KNNFamily([{"k": k, "p": 2} for k in (1, 3, 5, 7, 9, 11)]),
+        selection.SVMFamily([{"kernel": k, "c": c} for k, cs in (("linear", (0.1, 1.0, 10.0)), ("rbf", (1.0, 5.0, 10.0))) for c in cs]),
+        selection.SoftmaxFamily([{"lr": lr, "reg": reg, "epochs": 500, "batch": b} for lr, reg, b in ((0.01, 1e-4, 64), (0.01, 1e-3, 64), (0.001, 1e-4, 64), (0.005, 1e-4, 128))]),
+    ]
+    return selection.model_table(written(selection.nested_scores(parts(spark, sf_dir)[0], families), "scores"))

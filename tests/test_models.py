@@ -149,12 +149,38 @@ def test_families_on_separable_data(separable):
         assert len(scores) == len(family.settings) and min(r.accuracy for r in scores) >= 0.95, family.name
 
 
-def test_large_pairs(separable):
-    rows = separable.where("label < 2")
-    weights, bias = svm.fit_large_pair(rows, 0, 1, 1.0)
-    x, y = arrays(rows)
-    assert (((x @ weights + bias) > 0) == (y == 0)).mean() == 1.0
-    assert len(svm.fit_large_pair(rows, 0, 1, 1.0, gamma=0.1)[0]) == svm.RANDOM_FEATURES
+def test_large_pairs(separable, monkeypatch):
+    """Above EXACT_ROWS every kernel is fitted by the distributed solver, in groups too."""
+    settings = [{"kernel": "linear", "c": 1.0}, {"kernel": "rbf", "c": 1.0}, {"kernel": "poly", "c": 1.0}]
+    assert svm.largest_pair(separable) == 80
+    monkeypatch.setattr(svm, "EXACT_ROWS", 79)
+    scores = selection.scored(selection.SVMFamily(settings).predict(separable, separable, ()), separable, ()).collect()
+    assert {r.config for r in scores} == {"0", "1", "2"} and min(r.accuracy for r in scores) >= 0.95
+    folds = separable.withColumn("fold", F.lit(1)).unionByName(separable.withColumn("fold", F.lit(2)))
+    grouped = selection.scored(selection.SVMFamily(settings[:1]).predict(folds, folds, ["fold"]), separable, ["fold"]).collect()
+    assert {r.fold for r in grouped} == {1, 2} and min(r.accuracy for r in grouped) >= 0.95
+
+
+@pytest.mark.parametrize("kernel", ["rbf", "poly"])
+def test_feature_maps_approach_their_kernel(kernel):
+    x = np.random.default_rng(3).normal(0, 0.5, (30, 4))
+    k = svm.Kernel(kernel, 0.5)
+    z = svm.FeatureMap.of(k, 4, 200_000)(x)
+    assert np.abs(z @ z.T - k(x, x)).max() < 0.1
+
+
+def test_large_softmax_fits(separable, monkeypatch):
+    """Above SMALL_FIT models are averaged by epoch; without batches that is exact full-batch descent."""
+    family = selection.SoftmaxFamily([{"lr": 0.1, "reg": 1e-4, "epochs": 10, "batch": 16}, {"lr": 0.05, "reg": 1e-4, "epochs": 12, "batch": None}])
+    monkeypatch.setattr(softmax, "SMALL_FIT", 10)
+    scores = selection.scored(family.predict(separable, separable, ()), separable, ()).collect()
+    assert len(scores) == 2 and min(r.accuracy for r in scores) >= 0.9
+    configs = separable.sparkSession.createDataFrame([("f", 0.05, 1e-3, 7, 0)], "config string, lr double, reg double, epochs int, batch int")
+    got = softmax.fit_many(separable, configs).first()
+    want, _ = softmax.fit_full_batch(separable, lr=0.05, reg=1e-3, epochs=7)
+    assert np.allclose(np.array(got.weights).reshape(want.weights.shape), want.weights) and np.allclose(got.bias, want.bias)
+    folds = separable.withColumn("fold", F.lit(1)).unionByName(separable.withColumn("fold", F.lit(2)))
+    assert softmax.fit_many(folds, configs, ["fold"]).count() == 2
 
 
 @pytest.mark.parametrize("kernel", ["linear", "rbf", "poly"])
