@@ -201,6 +201,11 @@ def common_shape(spark, sf_dir):
     return shape.select("h", "w").crossJoin(count(kept, "n_kept")).crossJoin(count(rejected, "n_rejected"))  # three single rows
 
 
+@query(f"with {PIXELS} select cast({H} as int) as h, cast({W} - l - r as int) as w, count(*) as n, cast(min(img) as bigint) as first_seen from bars group by 1, 2")
+def shape_counts(spark, sf_dir):
+    return feat.shape_counts(cropped(image_files(spark, sf_dir)).withColumn("ord", F.col("name").cast("bigint")))
+
+
 @query(f"""with {PIXELS},
     gr as (select img, r, c, w, case when r = 0 or r = {H - 1} then 0 else lead(v) over (partition by img, c order by r) - lag(v) over (partition by img, c order by r) end as gy,
                   case when c = 0 or c = w - 1 then 0 else lead(v) over (partition by img, r order by c) - lag(v) over (partition by img, r order by c) end as gx from cp),
@@ -449,6 +454,20 @@ def svm_pairs(spark, sf_dir):
     return svm.class_pairs(read_embeddings(spark, sf_dir)).groupBy("a", "b").agg(F.count("*").alias("n_rows"))
 
 
+@query(f"""with {V}, k as (select distinct label as c from v), pr as (select a.c as a, b.c as b from k a join k b on a.c < b.c),
+    d as (select id, a, b, list_sum(list_transform(range(64), lambda j: f[j + 1] * ((j * 5 + a * 3 + b * 2) % 13 - 6) / 10.0)) + (a - b) / 50.0 as s from v, pr),
+    vt as (select id, case when s > 0 then a else b end as label, count(*) as n from d group by 1, 2)
+    select id, cast(label as int) as prediction from (select *, row_number() over (partition by id order by n desc, label) as o from vt) where o = 1""")
+def svm_votes(spark, sf_dir):
+    """Votes of linear models whose weights follow a rule, so that SQL can have the same."""
+    df = read_embeddings(spark, sf_dir)
+    classes = [r.label for r in df.select("label").distinct().orderBy("label").collect()]
+    weights = lambda a, b: [((j * 5 + a * 3 + b * 2) % 13 - 6) / 10.0 for j in range(64)]
+    rows = [("0", a, b, "linear", 0.0, (a - b) / 50.0, [1.0], [weights(a, b)]) for a in classes for b in classes if a < b]
+    models = spark.createDataFrame(rows, "config string, a int, b int, kernel string, gamma double, bias double, coef array<double>, support array<array<double>>")
+    return svm.predict_pairs(models, df).select("id", "prediction")
+
+
 @query()
 def svm_predict(spark, sf_dir):
     train, test = parts(spark, sf_dir)
