@@ -101,3 +101,17 @@ def hash_sample(rows: DataFrame, place: str, limit: int, about: int) -> DataFram
     if about > 4 * limit:
         rows = rows.where(F.col(place) < -(1 << 63) + (1 << 64) * 4 * limit // about)
     return rows.orderBy(place, *[c for c in rows.columns if c != place]).limit(limit)
+
+
+def join_group_value(rows: DataFrame, groups: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """``rows`` with the other columns of ``groups`` (one row per ``key``, null being one); null where the key is not in it.
+
+    Rows are dealt by key and a salt from their own values, so a key that holds
+    most rows meets its value in many tasks. Where ``groups`` is small, Spark
+    broadcasts it instead, by its own limit.
+    """
+    values = [c for c in groups.columns if c != key]
+    salted = groups.select(F.col(key).alias("group_key"), *values).withColumn("group_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    met = rows.withColumn("row_salt", salt).join(salted, F.col(key).eqNullSafe(F.col("group_key")) & (F.col("row_salt") == F.col("group_salt")), "left")
+    return met.select(*rows.columns, *values)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .codes import compress_vectors
 from .common import table
 from .extraction import extract_pages
 from .fingerprints import fingerprint_edits
@@ -77,6 +78,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code of four bytes for every vector, with its error."""
+    return compress_vectors(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, factor=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_extraction": op2_extraction,
@@ -88,8 +94,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
+    "op12_codes": op12_codes,
 }
 
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Rounds over all pairs of parts and entries; sums of whole numbers are exact in double precision here."""
+    ctes = ["""v as materialized (
+            select vec_id, label, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as e
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ),
+        p as materialized (select vec_id, label, q, e[q * len(e) // 4 + 1:(q + 1) * len(e) // 4] as x from v, range(4) t(q)),
+        b0 as materialized (
+            select q, dense_rank() over (order by vec_id) - 1 as entry, x from p
+            where vec_id in (select vec_id from v order by vec_id limit 256)
+        )"""]
+    for r in range(rounds + 1):
+        ctes.append(f"""a{r} as materialized (
+            select vec_id, any_value(label) as label, q, any_value(x) as x,
+                   min(struct_pack(d := list_inner_product(x, x) + list_inner_product(y, y) - 2 * list_inner_product(x, y), entry := entry)) as best
+            from (select p.*, b.entry, b.x as y from p join b{r} b on b.q = p.q) group by vec_id, q
+        )""")
+        if r < rounds:
+            ctes.append(f"""m{r} as (
+            select q, entry, list(floor(total / n) order by i) as x
+            from (select q, best.entry as entry, i, sum(x[i]) as total, count(*) as n from a{r}, lateral (select unnest(range(1, len(x) + 1)) as i) group by all)
+            group by q, entry
+        ),
+        b{r + 1} as materialized (select b.q, b.entry, coalesce(m.x, b.x) as x from b{r} b left join m{r} m on m.q = b.q and m.entry = b.entry)""")
+    return "with " + ",\n        ".join(ctes) + f""",
+        c as (
+            select vec_id, any_value(label) as label, string_agg(lpad(lower(hex(best.entry)), 2, '0'), '' order by q) as code, cast(sum(best.d) as bigint) as error
+            from a{rounds} group by vec_id
+        ),
+        s as (select sha256(string_agg(array_to_string(list_transform(x, lambda z: cast(cast(z as bigint) as varchar)), ','), ',' order by q, entry)) as codebooks_sha256 from b{rounds})
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256, label from c, s"""
+
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     # The tables' pages mark their article, and hold four kinds of character references.
@@ -136,4 +178,5 @@ ORACLE_SQL: dict[str, str] = {
         m as (select x, min(y) as component_id from r group by x)
         select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, d.doc_id = m.component_id as kept
         from d join m on m.x = d.doc_id left join n on n.doc_id = d.doc_id""",
+    "op12_codes": _codes_sql(),
 }
