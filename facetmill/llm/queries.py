@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codes import compress_vectors
-from .common import table
+from .common import table, written
 from .extraction import extract_pages
 from .fingerprints import fingerprint_edits
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import classify_quality
+from .rules import LEVELS, LIMIT, RISK, judge_quality
 from .sharding import shard_documents
 from .topk import exact_top_k
+from .trie import BLOCK_ROWS, prefix_trie, share_openings, turn_sequences
 from .url_filter import filter_urls
 from .warc import archive_round_trip
 
@@ -78,11 +80,28 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def conversation_trie(conversations: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The prefix trie of conversations, each opened by up to three turns of the one whose id is the next lower multiple of 20."""
+    own = written(turn_sequences(conversations), "trie-own")
+    turns = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    return prefix_trie(share_openings(own, F.col("conv_id") - F.col("conv_id") % 20, turns, most=3), block_rows)
+
+
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations, with its members, children, leaves and saved words."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A code of four bytes for every vector, with its error."""
     return compress_vectors(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, factor=1024)
 
 
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the certified rules' verdict of every document."""
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_extraction": op2_extraction,
@@ -94,7 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_trie": op11_trie,
     "op12_codes": op12_codes,
+    "op13_rules": op13_rules,
 }
 
 
@@ -132,6 +153,60 @@ def _codes_sql(rounds: int = 4) -> str:
         select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256, label from c, s"""
 
 
+def _rules_sql() -> str:
+    """Counts from all windows, then selection and test of the cutoffs for every level at once."""
+    rules = {"symbols": "1000 * n_symbols // greatest(word_chars, 1)", "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeats": "1000 * n_repeat_words // greatest(n_words, 1)", "upper": "1000 * n_upper // greatest(word_chars, 1)", "long_words": "10 * word_chars // greatest(n_words, 1)"}
+    scores = ", ".join(f"least(1000, {e}) as {k}" for k, e in rules.items()) + ", 1000 - long_words as short_words"
+    names = [*rules, "short_words"]
+    hit = " or ".join(f"coalesce(s.{k} >= c.{k}, false)" for k in names)
+    cuts = ", ".join(f"min(score) filter (rule = '{k}' and 1000 * good <= level * all_good) as {k}" for k in names)
+    long = " union all ".join(f"select lang, quality, '{k}' as rule, {k} as score from known where selects" for k in names)
+    return rf"""
+        with d as (
+            select doc_id, lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+            from documents
+        ),
+        win as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as s from d, lateral (select unnest(range(1, len(w) - 6)) as i)),
+        rep as (select doc_id, i from (select *, count(*) over (partition by doc_id, s) as c from win) where c > 1),
+        cov as (select doc_id, count(distinct i + j) as n from rep, range(8) t(j) group by doc_id),
+        f as materialized (
+            select doc_id, lang, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+                   len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words, len(regexp_extract_all(t, '\p{{Lu}}')) as n_upper, len(l) as n_lines,
+                   n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed
+            from d left join cov using (doc_id)
+        ),
+        s as materialized (select *, {scores} from f),
+        known as materialized (
+            select s.*, quality, substr(md5(cast(doc_id as varchar)), 1, 1) < '8' as selects
+            from s join (select doc_id, min(quality) as quality from labels where quality in (0, 1) group by doc_id having min(quality) = max(quality)) using (doc_id)
+            where not base_failed
+        ),
+        h as (select lang, rule, score, sum(quality) as good, sum(1 - quality) as bad from ({long}) group by all),
+        a as (
+            select lang, rule, score, sum(good) over (partition by lang, rule order by score desc) as good, sum(bad) over (partition by lang, rule order by score desc) as bad,
+                   sum(good) over (partition by lang, rule) as all_good
+            from h
+        ),
+        p as (select lang, level, {cuts} from a, (select unnest({list(LEVELS)}) as level) where score > 0 and 10 * bad >= 9 * (good + bad) group by lang, level),
+        k as (
+            select s.lang, v.level, count(*) as n, count(*) filter ({hit}) as k
+            from (select * from known where not selects and quality = 1) s cross join (select unnest({list(LEVELS)}) as level) v
+            left join p c on c.lang is not distinct from s.lang and c.level = v.level
+            group by s.lang, v.level
+        ),
+        t as (
+            select *, case when k >= n * {LIMIT} then 1 else list_sum(list_transform(range(0, k + 1),
+                lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({LIMIT}) + (n - j) * ln(1 - {LIMIT})))) end as below,
+                count(distinct lang) over () + max(cast(lang is null as int)) over () as strata
+            from k
+        ),
+        o as (select lang, level, bool_and(below <= {RISK} / strata) over (partition by lang order by level) as ok from t),
+        c as (select p.* from p join (select lang, max(level) as level from o where ok group by lang) b on b.lang is not distinct from p.lang and b.level = p.level)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_upper, n_lines, not base_failed and not ({hit}) as kept
+        from s left join c on c.lang is not distinct from s.lang"""
+
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     # The tables' pages mark their article, and hold four kinds of character references.
@@ -178,5 +253,28 @@ ORACLE_SQL: dict[str, str] = {
         m as (select x, min(y) as component_id from r group by x)
         select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, d.doc_id = m.component_id as kept
         from d join m on m.x = d.doc_id left join n on n.doc_id = d.doc_id""",
+    # A beginning is a list of (role, text); CRC-32 goes through the bits of the id's digits.
+    "op11_trie": r"""
+        with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+        own as (select conv_id as c, list(struct_pack(role := role, text := text) order by turn nulls first) as s from t group by conv_id),
+        h as (
+            select c, s, c - c % 20 as base, xor(list_reduce(list_transform(string_split(cast(c as varchar), ''), lambda ch: cast(ascii(ch) as bigint)),
+                lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x // 2, (x % 2) * 3988292384)), 4294967295), 4294967295) % 4 as n
+            from own
+        ),
+        r as materialized (select h.c, list_concat(coalesce(b.s, [])[1:n], h.s[n + 1:]) as s from h left join own b on b.c = h.base),
+        m as (select c, s, d, s[1:d] as p from r, lateral (select unnest(range(0, len(s) + 1)) as d)),
+        nodes as materialized (
+            select p, d, min(c) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (len(s) = d), '')) as ends_sha256,
+                   case when d = 0 then 0 else len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) end as words
+            from m group by p, d
+        ),
+        k as (select p[1:d - 1] as p, count(*) as n from nodes where d > 0 group by all),
+        w as materialized (select nodes.*, coalesce(k.n, 0) as n_children from nodes left join k using (p)),
+        up as (select p[1:e] as p, n_children, n_convs, words from w, lateral (select unnest(range(0, d + 1)) as e)),
+        sub as (select p, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * words) as saved_tokens from up group by p)
+        select w.conv_id, cast(w.d as bigint) as depth, q.conv_id as parent_conv_id, w.n_convs, w.n_children, sub.n_leaves, cast(sub.saved_tokens as bigint) as saved_tokens, w.ends_sha256
+        from w join sub using (p) left join nodes q on q.p = w.p[1:w.d - 1] and w.d > 0""",
     "op12_codes": _codes_sql(),
+    "op13_rules": _rules_sql(),
 }
