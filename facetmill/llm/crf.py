@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -58,18 +59,20 @@ def _sum_product(emission: np.ndarray, mask: np.ndarray, steps: np.ndarray, firs
     return float(log_z.sum()), one, pair
 
 
-def train(chains: Sequence[tuple[Sequence[Sequence[str]], Sequence[int]]], rounds: int = 150, l2: float = 0.005, rate: float = 0.15) -> Chain:
-    """Maximises the penalised likelihood of (features of each block, labels) chains by Adam steps on all of them."""
+def train(chains: Sequence[tuple[Sequence[Sequence[str]], Sequence[int]]], rounds: int = 150, l2: float = 0.005, rate: float = 0.15, least: int = 1) -> Chain:
+    """Maximises the penalised likelihood of (features of each block, labels) chains by Adam steps on all of them; features in fewer than ``least`` chains are not learned."""
     chains = [c for c in chains if len(c[1])]
-    names = {f: i for i, f in enumerate(sorted({f for blocks, _ in chains for b in blocks for f in b}))}
+    often = Counter(f for blocks, _ in chains for f in {f for b in blocks for f in b})
+    names = {f: i for i, f in enumerate(sorted(f for f, n in often.items() if n >= least))}
     n, length = len(chains), max((len(y) for _, y in chains), default=1)
     mask, labels = np.zeros((n, length), bool), np.zeros((n, length), np.int64)
     cell, feature = [], []
     for i, (blocks, y) in enumerate(chains):
         mask[i, : len(y)], labels[i, : len(y)] = True, y
         for t, b in enumerate(blocks):
-            cell += [i * length + t] * len(b)
-            feature += [names[f] for f in b]
+            known = [names[f] for f in b if f in names]
+            cell += [i * length + t] * len(known)
+            feature += known
     cell, feature = np.array(cell, np.int64), np.array(feature, np.int64)
     seen = np.zeros((2, 2))
     np.add.at(seen, (labels[:, :-1][mask[:, 1:]], labels[:, 1:][mask[:, 1:]]), 1)

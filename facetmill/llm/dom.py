@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 # Element names by how they shape text.
@@ -15,10 +17,16 @@ UNSEEN = frozenset("head svg math canvas object audio video select button datali
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Any other start tag ends an open head.
 OF_HEAD = frozenset("title meta link base script style noscript template head".split())
+#: Elements nested deeper are taken as children of this level, as browsers do.
+DEPTH = 512
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+#: What is no text where no ``>`` follows.
+TAIL = re.compile(r"<!--.*|<[!?].*", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-WORDS = re.compile(r"[a-z]+")
+#: Words of marks: two letters or more, digits only after them; what mixes both is a made-up name.
+WORDS = re.compile(r"(?<![a-z0-9])([a-z]{2,})\d*(?![a-z0-9])")
+CASES = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 @dataclass
@@ -36,8 +44,11 @@ class Paths:
     parent: list[int] = field(default_factory=lambda: [0])
     tag: list[str] = field(default_factory=lambda: [""])
     marks: list[tuple[str, ...]] = field(default_factory=lambda: [()])
+    depth: list[int] = field(default_factory=lambda: [0])
 
     def child(self, path: int, tag: str, attributes: str) -> int:
+        if self.depth[path] >= DEPTH:
+            path = self.parent[path]
         key = (path, tag, attributes)
         at = self.number.get(key)
         if at is None:
@@ -45,6 +56,7 @@ class Paths:
             self.parent.append(path)
             self.tag.append(tag)
             self.marks.append(marks_of(attributes))
+            self.depth.append(self.depth[path] + 1)
         return at
 
     def chain(self, path: int) -> list[int]:
@@ -63,18 +75,49 @@ def marks_of(attributes: str) -> tuple[str, ...]:
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name in ("class", "id", "role", "aria-label", "itemprop"):
-            found += WORDS.findall(value.lower())
+            found += WORDS.findall(CASES.sub(" ", value).lower())
         elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
             found.append("hidden")
     return tuple(dict.fromkeys(found))
 
 
+class Open:
+    """The open elements in their order, each name's places known, so that no tag is looked for among all of them."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.paths: list[int] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, path: int) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.paths.append(path)
+
+    def last(self, names: Iterable[str]) -> int:
+        """The innermost open element of one of these names; -1: none."""
+        return max((at[-1] for n in names if (at := self.places.get(n))), default=-1)
+
+    def first_after(self, place: int, names: Iterable[str]) -> int:
+        """The outermost open element of one of these names inside ``place``; -1: none."""
+        found = [at[i] for n in names if (at := self.places.get(n)) and (i := bisect_right(at, place)) < len(at)]
+        return min(found, default=-1)
+
+    def cut(self, place: int) -> tuple[list[str], int]:
+        """Ends the element at ``place`` and all in it: their names, and the path around them."""
+        gone, path = self.names[place:], self.paths[place]
+        del self.names[place:], self.paths[place:]
+        for name in gone:
+            self.places[name].pop()
+        return gone, path
+
+
 def leaf_blocks(page: str, paths: Paths) -> list[Block]:
-    """The page's blocks in order; scripts, styles, markup, controls and comments of the markup are left out."""
+    """The page's blocks in order, in time linear in the page; scripts, styles, markup, controls and comments of the markup are left out."""
     blocks: list[Block] = []
     pieces: list[str] = []
-    stack: list[tuple[str, int]] = []
-    path, links, unseen, linked, at, size = 0, 0, 0, 0, 0, len(page)
+    stack = Open()
+    path, links, unseen, linked, at, size, last_end = 0, 0, 0, 0, 0, len(page), page.rfind(">")
 
     def flush() -> None:
         nonlocal linked
@@ -85,16 +128,15 @@ def leaf_blocks(page: str, paths: Paths) -> list[Block]:
             pieces.clear()
         linked = 0
 
-    def close(down_to: int) -> None:
+    def close(place: int) -> None:
         nonlocal path, links, unseen
-        for tag, _ in stack[down_to:]:
+        gone, path = stack.cut(place)
+        for tag in gone:
             links -= tag == "a"
             unseen -= tag in UNSEEN
-        path = stack[down_to][1]
-        del stack[down_to:]
 
     while at < size:
-        m = TOKEN.search(page, at)
+        m = (TOKEN if at <= last_end else TAIL).search(page, at)
         end = m.start() if m else size
         if end > at and not unseen:
             text = page[at:end]
@@ -106,7 +148,7 @@ def leaf_blocks(page: str, paths: Paths) -> list[Block]:
         if m is None:
             break
         at = m.end()
-        name = m[2] or m[5]
+        name = m[2] or m[5] if m.re is TOKEN else None
         if name is None:
             continue
         tag, ends = name.lower(), (m[1] or m[4]) == "/"
@@ -114,19 +156,14 @@ def leaf_blocks(page: str, paths: Paths) -> list[Block]:
             if not unseen:
                 pieces.append(" ")
             continue
-        if not ends and tag not in OF_HEAD:
-            for i, (name, _) in enumerate(stack):
-                if name == "head":
-                    close(i)
-                    break
+        if not ends and tag not in OF_HEAD and stack.places.get("head"):
+            close(stack.places["head"][0])
         inline = tag in INLINE
         if not inline:
             flush()
         if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            if stack.places.get(tag):
+                close(stack.places[tag][-1])
             continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -136,14 +173,10 @@ def leaf_blocks(page: str, paths: Paths) -> list[Block]:
             continue
         if not inline:
             ended, within = CLOSES.get(tag, ({"p"}, {"table", "article", "section", "div", "li", "td", "blockquote"}))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in within:
-                    break
-                if stack[i][0] in ended:
-                    close(i)
-                    if tag != "tr":
-                        break
-        stack.append((tag, path))
+            place = stack.first_after(stack.last(within), ended) if tag == "tr" else stack.last(ended)
+            if place > stack.last(within):
+                close(place)
+        stack.push(tag, path)
         if not inline:
             path = paths.child(path, tag, m[3] or m[6] or "")
         links += tag == "a"

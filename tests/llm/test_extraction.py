@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ import pytest
 from facetmill.llm.common import table
 from facetmill.llm.crf import Chain, _sum_product
 from facetmill.llm.dom import Paths, leaf_blocks
-from facetmill.llm.extraction import STYLES, composed_chains, extract_pages, fit_extractor
+from facetmill.llm.extraction import STYLES, Memory, composed_chains, extract_pages, fit_extractor, fitted_extractor, main_text
 
 SF = "/root/testdata/sf0.01"
 
@@ -58,7 +59,13 @@ def test_blocks(page, want):
 
 @pytest.fixture(scope="module")
 def chain():
-    return fit_extractor()
+    return fitted_extractor()
+
+
+def test_the_kept_fit_is_that_of_the_composed_pages(chain):
+    own = fit_extractor()
+    assert set(own.weights) == set(chain.weights)
+    assert max(abs(w - chain.weights[f]) for f, w in own.weights.items()) < 0.01
 
 
 def test_whole_table(spark, chain):
@@ -127,3 +134,49 @@ def test_broken_pages_do_not_stop_it():
         cut = "".join(c for c in source if rng.random() > 0.1)
         leaf_blocks(cut, Paths())
     leaf_blocks("<" * 3000 + '<a b="' * 3000, Paths())
+
+
+def paragraphs(texts, tag="p", outer="{}"):
+    return "".join(outer.format(f"<{tag}>{x}</{tag}>") for x in texts)
+
+
+#: Containers without telling names; {h} is the headline, {p} the paragraphs.
+LAYOUTS = {
+    "div": "<div>{h}{p}</div>", "c1": '<div class="c1">{h}{p}</div>', "c1 c2": '<div class="c1"><div class="c2">{h}{p}</div></div>',
+    "named": '<div id="wrap"><div class="row"><div class="col-8">{h}{p}</div></div></div>', "app": '<div id="root"><div class="App"><div class="css-1a2b3c">{h}{wrapped}</div></div></div>',
+    "spans": '<div id="__next"><div class="sc-bdVaJa">{h}{spans}</div></div>', "form": '<form id="aspnetForm" action="/x"><div id="ctl00">{h}{p}</div></form>', "forty": "<div>" * 40 + "{h}{p}" + "</div>" * 40,
+    "table": "<table><tr><td>{h}{p}</td></tr></table>", "body": "{h}{p}", "divs": "<div class='x'>{h}{divs}</div>", "ids": "<div class='x'>{h}{numbered}</div>",
+    "section": "<section>{h}{p}</section>", "article": "<article>{h}{p}</article>", "main": "<main>{h}{p}</main>", "content": '<div class="content">{h}{p}</div>', "breaks": '<div class="c1">{h}{breaks}</div>',
+}
+NOUNS = "river boat wind stone house light garden market street window morning paper letter teacher winter summer bridge forest music doctor engine silver copper travel people children village mountain".split()
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_articles_of_short_paragraphs_are_kept(chain, layout):
+    rng = random.Random(layout)
+    said = lambda a, b: " ".join(rng.choice(NOUNS) for _ in range(rng.randrange(a, b))).capitalize()
+    list_of = lambda: "<ul>" + "".join(f'<li><a href="/{i}">{rng.choice(NOUNS)}</a></li>' for i in range(5)) + "</ul>"
+    lost = more = 0
+    for i in range(60):
+        head, texts = said(3, 8), [said(8, 31) + "." for _ in range(rng.randrange(3, 10))]
+        top = ("", f"<nav>{list_of()}</nav>", f'<div class="menu">{list_of()}</div>', f'<div class="a1">{list_of()}</div>')[i % 4]
+        end = ("", "<footer>&copy; 2020 My site. All rights reserved.</footer>", f"<aside><h3>Related</h3>{list_of()}</aside>", '<div class="cookie-banner"><p>We use cookies to make this site better for you.</p></div>', '<div class="comments"><h3>Comments</h3><p>I liked this story very much, thank you.</p></div>')[i % 5]
+        inner = LAYOUTS[layout].format(h=f"<h1>{head}</h1>", p=paragraphs(texts), divs=paragraphs(texts, "div"), wrapped=paragraphs(texts, "p", '<div class="css-77x">{}</div>'), spans=paragraphs(texts, "span", '<div class="sc-htpNat">{}</div>'), numbered="".join(f'<div id="p{j}"><p>{x}</p></div>' for j, x in enumerate(texts)), breaks="<br><br>".join(texts))
+        got = main_text(f"<html><head><title>t</title></head><body>{top}{inner}{end}</body></html>", chain, Memory())
+        lost += got != " ".join([head, *texts]) and len(got) < len(" ".join([head, *texts]))
+        more += len(got) > len(" ".join([head, *texts]))
+    assert lost <= 1 and more <= 3
+
+
+@pytest.mark.parametrize("inner", ["<h4>Related articles</h4><ul><li><a href=a>One story here</a></li><li><a href=b>Another story</a></li><li><a href=c>More news today</a></li></ul>", "<table><tr><td>Buy now at Shop</td></tr></table>", '<div class="ad"><p>Buy now at Shop</p></div>'])
+def test_link_lists_and_adverts_in_the_text_go(chain, inner):
+    for name in ("main", "article"):
+        page = f"<body><{name}><h1>On rivers</h1><p>The river is long and wide, and it runs through the whole of the country.</p><p>It has many fish, and people live along it in small houses.</p>{inner}<p>In winter it is frozen, and children walk over it on their way to school.</p></{name}></body>"
+        assert main_text(page, chain, Memory()) == "On rivers The river is long and wide, and it runs through the whole of the country. It has many fish, and people live along it in small houses. In winter it is frozen, and children walk over it on their way to school."
+
+
+@pytest.mark.parametrize("page", ["<div><p>x y z" * 50_000, "<div>" * 100_000 + "text", "<div>" * 20_000 + "</b></i>" * 100_000, "<head><p>a" * 50_000, "<ul><li>a" * 30_000, "<table><tr><td>x" * 30_000, '<a b="' * 20_000, "<!--" * 20_000])
+def test_odd_pages_take_linear_time(chain, page):
+    start = time.process_time()
+    main_text(page, chain, Memory())
+    assert time.process_time() - start < 8
