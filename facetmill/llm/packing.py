@@ -26,6 +26,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -43,6 +44,8 @@ GRAIN = 32
 #: Share of padding up to which the number of windows rises before items are cut.
 SLACK = 0.02
 GROUP = 512
+#: Texts with so many white-space characters in a row are read by another library.
+LONG_SPACE = 100_000
 #: Rows of a task in packing: a partition has about this many documents while there are partitions enough.
 DOCS_PER_TASK = 4096
 
@@ -63,7 +66,18 @@ def encoder(tokenizer: str):
     return tiktoken.Encoding(tokenizer, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special), tuple(special)
 
 
+@functools.lru_cache(maxsize=2)
+def reference_encoder(tokenizer: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(tokenizer) if "/" not in tokenizer else tokenizer)
+
+
 def encode(text: str, tokenizer: str) -> np.ndarray:
+    """The ids and the end mark. The faster library's pattern overflows at very long white space; the other one, with the same ids, reads texts that have it."""
+    if len(text) >= LONG_SPACE and re.search(rf"\s{{{LONG_SPACE}}}", text):
+        return np.array([*reference_encoder(tokenizer).encode(text, add_special_tokens=False).ids, END], dtype="<u4")
     own, special = encoder(tokenizer)
     ids = own.encode(text, allowed_special="all") if any(s in text for s in special) else own.encode_ordinary(text)
     return np.array([*ids, END], dtype="<u4")

@@ -35,6 +35,22 @@ def test_same_ids_on_the_whole_table(spark, reference):
         assert encode(row.text or "", TOKENIZER)[:-1].tolist() == reference.encode(row.text or "", add_special_tokens=False).ids
 
 
+LONG = [" " * 2_000_000 + "x", "a" + "\t" * 2_000_000, "\n" * 2_000_000 + " b", " \n\r\t" * 500_000 + "x", "\u00a0" * 1_000_000 + "x", "abcdefghij" * 100_000, "q" * 3_000_000, "x " * 300_000, "!" * 500_000 + " " * 99_999 + "y", "a" + " " * 100_000 + "b <|endoftext|>"]
+
+
+@pytest.mark.parametrize("i", range(len(LONG)))
+def test_same_ids_on_long_runs(reference, i):
+    assert encode(LONG[i], TOKENIZER)[:-1].tolist() == reference.encode(LONG[i], add_special_tokens=False).ids
+
+
+def test_long_runs_are_packed(spark, reference):
+    rows = [(i, LONG[i]) for i in (0, 1, 2, 9)] + [(100, "short")]
+    got = defaultdict(int)
+    for r in pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER).collect():
+        got[r.doc_id] += r.length
+    assert got == {i: 1 + len(reference.encode(t, add_special_tokens=False).ids) for i, t in rows}
+
+
 def test_checksums_of_pieces():
     ids = np.random.default_rng(3).integers(0, 50_000, 1111).astype("<u4")
     grains = grain_checksums(ids)
