@@ -130,45 +130,12 @@ def test_softmax_descent(separable):
     assert len(model.classes) == 3
 
 
-@pytest.mark.parametrize("kernel", ["linear", "rbf", "poly"])
-def test_dual_meets_its_conditions(kernel):
-    rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(-1, 1, (40, 2)), rng.normal(1, 1, (40, 2))])
-    y, box = np.repeat([1.0, -1.0], 40), np.full(80, 2.0)
-    gram = svm.Kernel(kernel, 0.5)(x, x)
-    alpha, bias = svm.solve_dual(gram, y, box, tol=1e-6)
-    margin = y * (gram @ (alpha * y) + bias)
-    assert abs(alpha @ y) < 1e-6 and (alpha >= 0).all() and (alpha <= box).all()
-    assert (margin[alpha == 0] >= 1 - 1e-3).all() and (margin[alpha == box] <= 1 + 1e-3).all()
-    assert np.allclose(margin[(alpha > 1e-6) & (alpha < box - 1e-6)], 1, atol=1e-3)
-
-
 def test_families_on_separable_data(separable):
     for family in (selection.SVMFamily(), selection.SoftmaxFamily([{"lr": 0.1, "reg": 1e-4, "epochs": 30, "batch": 16}]), selection.KNNFamily()):
         scores = selection.scored(family.predict(separable, separable, ()), separable, ()).collect()
         assert len(scores) == len(family.settings) and min(r.accuracy for r in scores) >= 0.95, family.name
 
 
-def test_large_pairs(separable, monkeypatch):
-    """Above EXACT_ROWS every kernel is fitted by the distributed solver, in groups too."""
-    settings = [{"kernel": "linear", "c": 1.0}, {"kernel": "rbf", "c": 1.0}, {"kernel": "poly", "c": 1.0}]
-    assert svm.largest_pair(separable) == 80
-    monkeypatch.setattr(svm, "EXACT_ROWS", 79)
-    scores = selection.scored(selection.SVMFamily(settings).predict(separable, separable, ()), separable, ()).collect()
-    assert {r.config for r in scores} == {"0", "1", "2"} and min(r.accuracy for r in scores) >= 0.95
-    folds = separable.withColumn("fold", F.lit(1)).unionByName(separable.withColumn("fold", F.lit(2)))
-    grouped = selection.scored(selection.SVMFamily(settings[:1]).predict(folds, folds, ["fold"]), separable, ["fold"]).collect()
-    assert {r.fold for r in grouped} == {1, 2} and min(r.accuracy for r in grouped) >= 0.95
-
-
-@pytest.mark.parametrize("kernel", ["rbf", "poly"])
-def test_feature_maps_approach_their_kernel(kernel):
-    x = np.random.default_rng(3).normal(0, 0.5, (30, 4))
-    k = svm.Kernel(kernel, 0.5)
-    z = svm.FeatureMap.of(k, 4, 200_000)(x)
-    assert np.abs(z @ z.T - k(x, x)).max() < 0.1
-
-
 def test_large_softmax_fits(separable, monkeypatch):
     """Above SMALL_FIT models are averaged by epoch; without batches that is exact full-batch descent."""
     family = selection.SoftmaxFamily([{"lr": 0.1, "reg": 1e-4, "epochs": 10, "batch": 16}, {"lr": 0.05, "reg": 1e-4, "epochs": 12, "batch": None}])
@@ -183,29 +150,6 @@ def test_large_softmax_fits(separable, monkeypatch):
     assert softmax.fit_many(folds, configs, ["fold"]).count() == 2
 
 
-@pytest.mark.parametrize("kernel", ["linear", "rbf", "poly"])
-def test_dual_on_columns_made_on_demand(kernel, monkeypatch):
-    rng = np.random.default_rng(1)
-    x, y, box = rng.normal(0, 1, (90, 3)), np.where(np.arange(90) % 2 == 0, 1.0, -1.0), np.full(90, 2.0)
-    k = svm.Kernel(kernel, 0.5)
-    monkeypatch.setattr(svm, "KEPT_VALUES", 90 * 4)
-    lazy = svm.LazyGram(k, x)
-    alpha, bias = svm.solve_dual(lazy, y, box, tol=1e-6)
-    want, want_bias = svm.solve_dual(k(x, x), y, box, tol=1e-6)
-    assert len(lazy.kept) <= 4
-    margin, exact = k(x, x) @ (alpha * y) + bias, k(x, x) @ (want * y) + want_bias
-    assert np.allclose(margin, exact, atol=1e-3)
-
-
-def test_query_with_pairs_above_the_cap(monkeypatch, spark):
-    from facetmill.jobs.queries import QUERIES
-
-    want = sorted(QUERIES["svm_predict"](spark, "/root/testdata/sf0.001").collect())
-    monkeypatch.setattr(svm, "PAIR_ROWS", 10)
-    assert sorted(QUERIES["svm_predict"](spark, "/root/testdata/sf0.001").collect()) == want
-    assert want
-
-
 def test_compare_families(separable):
     families = [selection.KNNFamily([{"k": 3, "p": 2}]), selection.SVMFamily([{"kernel": "linear", "c": 1.0}])]
     table, score, name, setting = compare_families(separable, families, 3, 2)
