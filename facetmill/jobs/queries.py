@@ -446,6 +446,15 @@ def softmax_sweep(spark, sf_dir):
     return metrics.leaderboard(scores.withColumn("config", F.col("config").cast("int")))
 
 
+@query()
+def softmax_history(spark, sf_dir):
+    """Loss and validation accuracy by epoch of mini-batch descent, every step made by all tasks together."""
+    train, test = parts(spark, sf_dir)
+    configs = spark.createDataFrame([("0", 0.1, 1e-4, 6, 128), ("1", 0.05, 1e-3, 8, 0)], "config string, lr double, reg double, epochs int, batch int")
+    models = softmax.fit_barrier(train, configs, validation=test, every=2)
+    return models.select("config", F.explode("history").alias("h")).select("config", "h.epoch", six("h.loss", "loss"), six("h.accuracy", "accuracy"))
+
+
 # --- support vector machines ---
 
 

@@ -136,20 +136,6 @@ def test_families_on_separable_data(separable):
         assert len(scores) == len(family.settings) and min(r.accuracy for r in scores) >= 0.95, family.name
 
 
-def test_large_softmax_fits(separable, monkeypatch):
-    """Above SMALL_FIT models are averaged by epoch; without batches that is exact full-batch descent."""
-    family = selection.SoftmaxFamily([{"lr": 0.1, "reg": 1e-4, "epochs": 10, "batch": 16}, {"lr": 0.05, "reg": 1e-4, "epochs": 12, "batch": None}])
-    monkeypatch.setattr(softmax, "SMALL_FIT", 10)
-    scores = selection.scored(family.predict(separable, separable, ()), separable, ()).collect()
-    assert len(scores) == 2 and min(r.accuracy for r in scores) >= 0.9
-    configs = separable.sparkSession.createDataFrame([("f", 0.05, 1e-3, 7, 0)], "config string, lr double, reg double, epochs int, batch int")
-    got = softmax.fit_many(separable, configs).first()
-    want, _ = softmax.fit_full_batch(separable, lr=0.05, reg=1e-3, epochs=7)
-    assert np.allclose(np.array(got.weights).reshape(want.weights.shape), want.weights) and np.allclose(got.bias, want.bias)
-    folds = separable.withColumn("fold", F.lit(1)).unionByName(separable.withColumn("fold", F.lit(2)))
-    assert softmax.fit_many(folds, configs, ["fold"]).count() == 2
-
-
 def test_compare_families(separable):
     families = [selection.KNNFamily([{"k": 3, "p": 2}]), selection.SVMFamily([{"kernel": "linear", "c": 1.0}])]
     table, score, name, setting = compare_families(separable, families, 3, 2)
