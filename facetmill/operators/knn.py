@@ -1,8 +1,9 @@
-"""Nearest-neighbour classification: exact neighbours by blocks, majority vote."""
+"""Nearest-neighbour classification: exact neighbours in cells around pivots, majority vote."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.blocks import matrix
+from ..functions.blocks import arrays, matrix
+from ..sources.shared import written
 
 #: Training rows held by a task, and query rows a task should have at least.
 SHARD_ROWS, QUERY_ROWS = 50_000, 2_000
+#: Most cells of a group: their pivots go to all tasks.
+MOST_CELLS = 2_048
 #: Numbers in a block of differences.
 BLOCK_CELLS = 4_000_000
 
@@ -50,27 +54,154 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, p: int = 2, by: Seq
     return neighbours_by_norm(train, queries, k, (p,), by).drop("p")
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Pivots of a group with, for each norm, the largest distance of a row in their cell, and how many rows these have."""
+
+    pivots: np.ndarray
+    counts: np.ndarray
+    radius: np.ndarray  # norms x cells
+
+    def bounds(self, queries: np.ndarray, i: int, p: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distances to the pivots, and what no row of a cell can be nearer than."""
+        far = np.concatenate([distances(queries[at : at + 64], self.pivots, p) for at in range(0, len(queries), 64)]) ** (1.0 / p) if len(queries) else np.zeros((0, len(self.pivots)))
+        return far, np.maximum(far - self.radius[i], 0.0) * (1 - 1e-9) - 1e-12
+
+    def homes(self, queries: np.ndarray, ps: Sequence[int], k: int) -> np.ndarray:
+        """Whether a cell is among a query's nearest ones that together have k rows, by any norm."""
+        out = np.zeros((len(queries), len(self.pivots)), dtype=bool)
+        for i, p in enumerate(ps):
+            order = np.argsort(self.bounds(queries, i, p)[0], axis=1, kind="stable")
+            before = np.cumsum(self.counts[order], axis=1) - self.counts[order]
+            np.put_along_axis(out, order, np.take_along_axis(out, order, 1) | ((before < k) & (self.counts[order] > 0)), 1)
+        return out
+
+    def others(self, queries: np.ndarray, ps: Sequence[int], k: int, reach: np.ndarray) -> np.ndarray:
+        """Whether a cell that is no home of a query may have rows within its ``reach`` (query x norm)."""
+        near = np.zeros((len(queries), len(self.pivots)), dtype=bool)
+        for i, p in enumerate(ps):
+            near |= (self.bounds(queries, i, p)[1] <= reach[:, i, None]) & (self.counts > 0)
+        return near & ~self.homes(queries, ps, k)
+
+
 def neighbours_by_norm(train: DataFrame, queries: DataFrame, k: int, ps: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
     """(by…, p, query_id, rank, train_id, label, dist): the k nearest training rows of each query of the same group, for every norm.
 
-    Training rows are dealt into shards and queries into blocks; a task takes
-    one shard and one block, finds its k nearest, and the best of all shards
-    are chosen by a window. Only as many copies of rows travel as the grid of
-    shards and blocks needs; nothing is collected or broadcast. Both tables are
-    read twice, once to count them, so they should not be costly to make.
+    More rows than a task takes are dealt into cells around pivots. A query
+    first meets its nearest cells that have k rows; the k-th distance found
+    there is its reach, and it goes on only to cells whose pivot's distance
+    less their radius is within it. The best of all cells are chosen by a
+    window. Cells with many rows are split, and cells that many queries go to
+    are copied for blocks of queries; nothing but pivots, radii and counts (a
+    row a cell, at most MOST_CELLS a group) comes to the driver.
     """
+    both = train.select(*by, F.lit(1).alias("_n")).unionByName(queries.select(*by, F.lit(0).alias("_n")))
+    counted = both.groupBy(*by).agg(F.sum("_n").alias("_t"), F.sum(1 - F.col("_n")).alias("_q")).withColumn("_c", F.lit(0).cast("bigint")).collect()  # a row a group
+    cells = min(MOST_CELLS, -(-max((r["_t"] or 0 for r in counted), default=0) // SHARD_ROWS))
+    if cells <= 1:
+        place = F.lit(0).cast("bigint")
+        found = _search(train.select(*by, "id", "features", "label").withColumn("_c", place), queries.select(*by, "id", "features").withColumn("_c", place), k, ps, by, [r for r in counted if r["_t"] and r["_q"]])
+    else:
+        placed, known = pivot_cells(train, cells, ps, by)
+        queries = written(queries.select(*by, "id", "features"), "knn-queries")
+        first = written(_search(placed, targets(queries, known, k, ps, by), k, ps, by), "knn-first")
+        rank = F.row_number().over(Window.partitionBy(*by, "p", "query_id").orderBy("dist", "train_id"))
+        kth = first.withColumn("rank", rank).where(F.col("rank") == k).groupBy(*by, F.col("query_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("p", "dist"))).alias("_kth"))
+        found = first.unionByName(_search(placed, targets(queries.join(kth, [*by, "id"], "left"), known, k, ps, by), k, ps, by))
+    order = Window.partitionBy(*by, "p", "query_id").orderBy("dist", "train_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, "p", "query_id", "rank", "train_id", "label", "dist")
+
+
+def pivot_cells(train: DataFrame, cells: int, ps: Sequence[int], by: Sequence[str] = ()) -> tuple[DataFrame, dict[tuple, Cells]]:
+    """Training rows with their cell ``_c``, written once, and the cells of each group. Pivots are the ``cells`` rows of a group that come first by a hash."""
+    order = (F.md5(F.concat_ws(":", F.lit("pivot"), F.col("id").cast("string"))), F.col("id"))
+    rows = train.select(*by, "id", "features")
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= cells) if by else rows.orderBy(*order).limit(cells)
+    chosen: dict[tuple, list] = {}
+    for r in first.collect():
+        chosen.setdefault(tuple(r[c] for c in by), []).append((r.id, r.features))
+    pivots = train.sparkSession.sparkContext.broadcast({key: np.array([f for _, f in sorted(rows)]) for key, rows in chosen.items()})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, cell, far = matrix(batch.column("features")), np.zeros(batch.num_rows, dtype=np.int64), np.zeros((batch.num_rows, len(ps)))
+            for key, rows in _by_key(batch, by):
+                own = pivots.value[key]
+                for part in np.array_split(rows, max(1, len(rows) // 256)):
+                    cell[part] = (-2.0 * (x[part] @ own.T) + (own**2).sum(axis=1)).argmin(axis=1)
+                    gap = np.abs(x[part] - own[cell[part]])
+                    far[part] = np.column_stack([(gap**p).sum(axis=1) ** (1.0 / p) for p in ps])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), arrays(far)], names=[*batch.schema.names, "_c", "_far"])
+
+    rows = train.select(*by, "id", "features", "label")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    placed = written(rows.mapInArrow(place, f"{fields}, _c bigint, _far array<double>"), "knn-cells")
+    counts = placed.groupBy(*by, "_c").agg(F.count("*").alias("n"), *[F.max(F.col("_far")[i]).alias(f"r{i}") for i in range(len(ps))]).collect()
+    known = {}
+    for key, own in pivots.value.items():
+        count, radius = np.zeros(len(own), dtype=np.int64), np.zeros((len(ps), len(own)))
+        for r in counts:
+            if tuple(r[c] for c in by) == key:
+                count[r["_c"]] = r["n"]
+                radius[:, r["_c"]] = [r[f"r{i}"] for i in range(len(ps))]
+        known[key] = Cells(own, count, radius)
+    return placed.drop("_far"), known
+
+
+def _by_key(batch: pa.RecordBatch, by: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The groups in a batch and their rows' places."""
+    keys = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True)) if by else [()] * batch.num_rows
+    places: dict[tuple, list[int]] = {}
+    for i, key in enumerate(keys):
+        places.setdefault(key, []).append(i)
+    for key, rows in places.items():
+        yield key, np.array(rows)
+
+
+def targets(queries: DataFrame, known: dict[tuple, Cells], k: int, ps: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """Each query once for every cell ``_c`` that it goes to: its homes, or with ``_kth`` (norm -> k-th distance found there) the others in reach."""
+    shared, again = queries.sparkSession.sparkContext.broadcast(known), "_kth" in queries.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column("features"))
+            for key, rows in _by_key(batch, by):
+                cells = shared.value.get(key)
+                if cells is None:
+                    continue
+                if again:
+                    found = [dict(m or ()) for m in batch.column("_kth").take(pa.array(rows)).to_pylist()]
+                    reach = np.array([[f.get(p, np.inf) ** (1.0 / p) * (1 + 1e-9) for p in ps] for f in found])
+                    query, cell = np.nonzero(cells.others(x[rows], ps, k, reach))
+                else:
+                    query, cell = np.nonzero(cells.homes(x[rows], ps, k))
+                part = batch.select([*by, "id", "features"]).take(pa.array(rows[query]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int64))], names=[*part.schema.names, "_c"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.select(*by, "id", "features").schema.fields)
+    return queries.mapInArrow(run, f"{fields}, _c bigint")
+
+
+def _search(train: DataFrame, queries: DataFrame, k: int, ps: Sequence[int], by: Sequence[str], cells: list | None = None) -> DataFrame:
+    """(by…, p, query_id, train_id, label, dist): the k best of each part of a cell for the queries sent to that cell. cells: its rows (by…, _c, _t, _q), where known."""
     spark = train.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = train.select(*by, F.lit(1).alias("_n")).unionByName(queries.select(*by, F.lit(0).alias("_n")))
-    size = both.groupBy(*by).agg(F.sum("_n").alias("t"), F.sum(1 - F.col("_n")).alias("q")).agg(F.sum((F.col("t") > 0).cast("int")).alias("groups"), F.sum("t").alias("t"), F.sum("q").alias("q")).first()
-    groups = max(1, size.groups or 0)
-    shards = max(1, -(-(size.t or 0) // (groups * SHARD_ROWS)))
-    blocks = max(1, min(parts // max(1, shards * groups) or 1, -(-(size.q or 0) // (groups * QUERY_ROWS))))
-    cell = lambda s, b: F.concat_ws("|", *[F.col(c).cast("string") for c in by], s.cast("string"), b.cast("string"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = train.select(*by, "id", "features", "label").withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("_b", every(blocks)).withColumn("_kind", F.lit(0))
-    right = queries.select(*by, "id", "features").withColumn("label", F.lit(0)).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("_s", every(shards)).withColumn("_kind", F.lit(1))
-    rows = left.withColumn("_b", F.col("_b").cast("long")).unionByName(right.withColumn("_s", F.col("_s").cast("long")).select(left.columns)).withColumn("_cell", cell(F.col("_s"), F.col("_b"))).drop("_s", "_b")
+    if cells is None:
+        cells = train.groupBy(*by, "_c").agg(F.count("*").alias("_t")).join(queries.groupBy(*by, "_c").agg(F.count("*").alias("_q")), [*by, "_c"]).collect()  # a row a cell
+    fewest = max(QUERY_ROWS, -(-sum(r["_q"] for r in cells) // parts))
+    grid = [(*[r[c] for c in by], r["_c"], -(-r["_t"] // SHARD_ROWS), -(-r["_q"] // fewest)) for r in cells]
+    fields = [*[train.schema[c] for c in by], T.StructField("_c", T.LongType()), T.StructField("_subs", T.LongType()), T.StructField("_blocks", T.LongType())]
+    grid = F.broadcast(spark.createDataFrame(grid, T.StructType(fields)))  # a row a cell
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    left = train.select(*by, "id", "features", "label", "_c").join(grid, [*by, "_c"]).withColumn("_s", dealt("_subs")).withColumn("_b", every("_blocks")).withColumn("_kind", F.lit(0))
+    right = queries.select(*by, "id", "features", F.lit(0).alias("label"), "_c").join(grid, [*by, "_c"]).withColumn("_b", dealt("_blocks")).withColumn("_s", every("_subs")).withColumn("_kind", F.lit(1))
+    cell = F.concat_ws("|", *[F.col(c).cast("string") for c in (*by, "_c", "_s", "_b")])
+    rows = left.unionByName(right).withColumn("_cell", cell).drop("_c", "_s", "_b", "_subs", "_blocks")
     names = [*by, "p", "query_id", "train_id", "label", "dist"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +233,7 @@ def neighbours_by_norm(train: DataFrame, queries: DataFrame, k: int, ps: Sequenc
                 at = end
 
     schema = T.StructType([*[train.schema[c] for c in by], T.StructField("p", T.IntegerType()), T.StructField("query_id", T.LongType()), T.StructField("train_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("dist", T.DoubleType())])
-    found = rows.repartition(max(parts, 1), "_cell").sortWithinPartitions("_cell", "_kind").mapInArrow(search, schema)
-    order = Window.partitionBy(*by, "p", "query_id").orderBy("dist", "train_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, "p", "query_id", "rank", "train_id", "label", "dist")
+    return rows.repartition(max(parts, 1), "_cell").sortWithinPartitions("_cell", "_kind").mapInArrow(search, schema)
 
 
 def vote(near: DataFrame, by: Sequence[str] = ()) -> DataFrame:
