@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.selection import SVMFamily
-from ..sources.images import list_images, prediction_line
+from ..sources.images import list_images, write_line
 from ..sources.vectors import trainable
 from .prepare import apply_pipeline, prepare
 
@@ -20,5 +20,5 @@ def predict_folder(spark: SparkSession, labelled: str, unlabelled: str, work: st
     found = SVMFamily([{"kernel": kernel, "c": c}]).predict(trainable(numbered(train)).drop("name"), test, ())
     found.join(test.select("id", "name"), "id").select("name", "prediction").write.mode("overwrite").parquet(f"{out}/predictions")
     predictions = spark.read.parquet(f"{out}/predictions")
-    prediction_line(predictions).coalesce(1).write.mode("overwrite").text(f"{out}/line")
+    write_line(predictions, f"{out}/line")
     return predictions

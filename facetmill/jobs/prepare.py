@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import Components, Scaler, common_shape, fit_pca, fit_scaler, load_model, project, save_model, standardise
-from ..sources.images import cropped, described, fit_names, list_images
+from ..sources.images import cropped, described, first_files, fit_names, list_images
 
 
 @dataclass
@@ -60,7 +60,7 @@ def prepare(spark: SparkSession, folder: str, out: str, fit_limit: int = 800, n_
         if "PATH_NOT_FOUND" not in str(e):
             raise
     files = list_images(spark, folder)
-    pipeline = fit_pipeline(files, fit_limit, n_components)
+    pipeline = fit_pipeline(first_files(files, fit_limit), fit_limit, n_components)
     pipeline.save(spark, f"{path}/pipeline")
     apply_pipeline(files, pipeline)[0].write.parquet(f"{path}/features")
     return spark.read.parquet(f"{path}/features"), pipeline

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,8 +72,38 @@ def described(images: DataFrame, equalise: bool = True) -> DataFrame:
     return images.where("pix is not null").select("name", "label", "h", "w", "pix").mapInArrow(run, "name string, label int, h int, w int, features array<double>")
 
 
+def in_picture_order(predictions: DataFrame) -> DataFrame:
+    """(name, prediction) sorted by picture key over range partitions: the whole table's order is that of its partitions."""
+    key = picture_key(F.col("name"))
+    parts = int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return predictions.select("name", "prediction").repartitionByRange(parts, key, "name").sortWithinPartitions(key, "name")
+
+
+def write_line(predictions: DataFrame, path: str) -> None:
+    """The predictions in picture order, each followed by a comma, as text files that together, in the order of their names, are one line.
+
+    Every task writes a part of it; nothing is gathered.
+    """
+    in_picture_order(predictions).select(F.col("prediction").cast("string").alias("value")).write.mode("overwrite").option("lineSep", ",").text(path)
+
+
 def prediction_line(predictions: DataFrame) -> DataFrame:
-    """One row, ``value``: the predictions of (name, prediction) in picture order, each followed by a comma. For small outputs."""
-    ordered = F.array_sort(F.collect_list(F.struct(picture_key(F.col("name")).alias("key"), "name", F.col("prediction").cast("string").alias("p"))))
-    line = F.array_join(F.transform(ordered, lambda x: x["p"]), ",")
-    return predictions.agg(F.when(F.count("*") > 0, F.concat(line, F.lit(","))).otherwise("").alias("value"))
+    """One row, ``value``: the line that write_line writes. Tasks join their parts of it; one row holds it all in the end."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for i, batch in enumerate(batches):
+            text = "".join(f"{p}," for p in batch.column("prediction").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + i]), pa.array([text])], names=["at", "text"])
+
+    parts = in_picture_order(predictions).mapInArrow(joined, "at bigint, text string")
+    return parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "").alias("value"))
+
+
+def first_files(files: DataFrame, fit_limit: int) -> DataFrame:
+    """The first ``fit_limit`` images in natural order (all, if it is not positive): their paths are chosen by name, and only these files are opened."""
+    if fit_limit <= 0:
+        return files
+    paths = [r.path for r in files.select("path", "name").orderBy(natural_key(F.col("name")), "name").limit(fit_limit).collect()]  # at most fit_limit
+    literal = lambda path: re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+    return named_images(files.sparkSession.read.format("binaryFile").load([literal(p) for p in paths])) if paths else files

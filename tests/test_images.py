@@ -7,7 +7,7 @@ from facetmill.functions.images import clahe, crop_bars, decode_pnm, gray_bars,
 from facetmill.functions.names import label_of, natural_key, picture_key
 from facetmill.jobs.predict import predict_folder
 from facetmill.jobs.prepare import apply_pipeline, fit_pipeline
-from facetmill.sources.images import list_images, prediction_line
+from facetmill.sources.images import first_files, list_images, prediction_line, write_line
 
 
 def p5(image, top=255):
@@ -96,5 +96,28 @@ def test_predict_folder(spark, folder, tmp_path):
         predictions = predict_folder(spark, str(folder / "known"), str(folder / "new"), f"file://{tmp_path}/work", f"file://{tmp_path}/out")
         got = {r.name: r.prediction for r in predictions.collect()}
         assert got == {f"pic{i}.pgm": i % 3 for i in range(9)}
-    assert spark.read.text(f"file://{tmp_path}/out/line").first().value == "0,1,2,0,1,2,0,1,2,"
+    assert line_in(tmp_path / "out/line") == "0,1,2,0,1,2,0,1,2," == prediction_line(predictions).first().value
     assert prediction_line(predictions.limit(0)).first().value == ""
+
+
+def line_in(folder):
+    return "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+
+
+def test_the_line_is_written_in_parts(spark, tmp_path):
+    rows = [(f"img{i}.pgm", i * 7 % 11) for i in range(1, 2000)] + [("none.pgm", 3), ("a5.pgm", 4)]
+    predictions = spark.createDataFrame(rows, "name string, prediction int").repartition(5)
+    key = lambda r: (int("".join(c for c in r[0] if c.isdigit()) or 0), r[0])
+    want = "".join(f"{p}," for _, p in sorted(rows, key=key))
+    write_line(predictions, f"file://{tmp_path}/line")
+    assert line_in(tmp_path / "line") == want == prediction_line(predictions).first().value
+    assert len(list((tmp_path / "line").glob("part-*"))) > 1
+
+
+def test_the_fit_opens_only_its_files(spark, tmp_path):
+    for i in (1, 2, 10, 30):
+        (tmp_path / f"p1_i{i}.pgm").write_bytes(p5(np.full((16, 16), i)))
+    (tmp_path / "p1_i[3]{4}.pgm").write_bytes(p5(np.full((16, 16), 7)))
+    files = list_images(spark, str(tmp_path))
+    assert {r.name for r in first_files(files, 3).collect()} == {"p1_i1.pgm", "p1_i2.pgm", "p1_i10.pgm"}
+    assert first_files(files, 0).count() == 5 and first_files(files, 9).count() == 5
