@@ -65,10 +65,29 @@ def test_scaler_and_components(separable):
     assert (pca.components[np.arange(2), np.abs(pca.components).argmax(axis=1)] > 0).all()
 
 
-def test_wide_components(spark, separable, monkeypatch):
-    whole = feat.fit_pca(separable, 3)
-    monkeypatch.setattr(feat, "WIDE", 2)
-    assert np.allclose(feat.fit_pca(separable, 3).ratio, whole.ratio, atol=1e-8)
+def test_wide_components(spark, monkeypatch):
+    """Components from blocks equal those of the whole scatter matrix, however slowly its values fall."""
+    rng = np.random.default_rng(4)
+    for fall in (0.99, 0.5):
+        x = rng.normal(0, 1, (150, 60)) * fall ** np.arange(60)
+        data = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "id long, features array<double>, label int")
+        whole = feat.fit_pca(data, 5)
+        monkeypatch.setattr(feat, "WIDE", 2)
+        parted = feat.fit_pca(data, 5)
+        monkeypatch.undo()
+        assert whole.residual.max() < 1e-9 and parted.residual.max() <= feat.PCA_TOLERANCE
+        assert np.allclose(parted.ratio, whole.ratio, atol=1e-10) and np.allclose(parted.components, whole.components, atol=1e-6)
+
+
+def test_leading_vectors_of_awkward_matrices():
+    rng = np.random.default_rng(5)
+    q = np.linalg.qr(rng.normal(size=(40, 40)))[0]
+    for values in (np.ones(40), np.r_[5.0, 5, 5, np.zeros(37)], np.zeros(40), 0.9 ** np.arange(40)):
+        matrix = (q * values) @ q.T
+        found, vectors, residual = feat._leading(lambda b, m=matrix: m @ b, 40, 4, 1)
+        assert np.allclose(found, values[:4], atol=1e-8) and residual.max(initial=0) < 1e-8 and np.allclose(vectors.T @ vectors, np.eye(4), atol=1e-8)
+    with pytest.raises(RuntimeError, match="passes"):
+        feat._leading(lambda b: rng.normal(size=b.shape), 400, 4, 1)
 
 
 def test_constant_columns(spark):
