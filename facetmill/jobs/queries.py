@@ -331,6 +331,12 @@ def kmeans_fit(spark, sf_dir):
     return centroid_rows(spark, kmeans.fit_kmeans(read_embeddings(spark, sf_dir), K, max_iter=3).centroids)
 
 
+@query(f"with {THREE} {CENTROIDS.format(3)}")
+def kmeans_held_fit(spark, sf_dir):
+    """The same rounds in one barrier stage, with bounds instead of all distances."""
+    return centroid_rows(spark, kmeans.fit_kmeans_held(read_embeddings(spark, sf_dir), K, max_iter=3)[0].centroids)
+
+
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read_embeddings(spark, sf_dir)
     return kmeans.assign(df, kmeans.fit_kmeans(df, K, max_iter=3).centroids)

@@ -7,11 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blocks import arrays, matrix
+from ..functions.meeting import Meeting
 from ..functions.ordering import seeded_key
+from ..sources.shared import written
 from .metrics import accuracy, contingency
 
 SEED = 42
@@ -96,6 +99,75 @@ def fit_kmeans(df: DataFrame, n_clusters: int = 28, max_iter: int = 100, seed: i
         df.unpersist()
 
 
+class Bounded:
+    """Rows with their cluster and, between rounds, bounds of their distances: one above to their own centroid, one below to all others (Hamerly, 2010)."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        self.cluster = np.zeros(len(x), dtype=np.int64)
+        self.above, self.below = np.full(len(x), np.inf), np.zeros(len(x))
+        self.made = 0
+
+    def assign(self, centroids: np.ndarray, moved: np.ndarray | None) -> None:
+        """Nearest centroids, after these ``moved`` by so much; only rows whose bounds cross look at all of them. Ties go to the lowest."""
+        if moved is not None:
+            others = np.array([np.delete(moved, c).max(initial=0.0) for c in range(len(moved))])
+            self.above = (self.above + moved[self.cluster]) * (1 + 1e-12)
+            self.below = (self.below - others[self.cluster]) * (1 - 1e-12) - 1e-12
+        gaps = np.sqrt(squared_distances(centroids, centroids))
+        np.fill_diagonal(gaps, np.inf)
+        far = np.maximum(self.below, gaps.min(axis=1)[self.cluster] / 2) * (1 - 1e-9) - 1e-9
+        open_ = np.flatnonzero(self.above >= far)
+        own = np.sqrt(((self.x[open_] - centroids[self.cluster[open_]]) ** 2).sum(axis=1))
+        self.made += len(open_)
+        self.above[open_] = own * (1 + 1e-9) + 1e-9
+        open_ = open_[self.above[open_] >= far[open_]]
+        for at in range(0, len(open_), 4096):
+            rows = open_[at : at + 4096]
+            d = squared_distances(self.x[rows], centroids)
+            self.made += d.size
+            best = d.argmin(axis=1)
+            self.cluster[rows] = best
+            self.above[rows] = np.sqrt(d[np.arange(len(rows)), best]) * (1 + 1e-9) + 1e-9
+            d[np.arange(len(rows)), best] = np.inf
+            self.below[rows] = np.sqrt(d.min(axis=1)) * (1 - 1e-9) - 1e-9 if d.shape[1] > 1 else np.inf
+
+
+def fit_kmeans_held(df: DataFrame, n_clusters: int = 28, max_iter: int = 100, seed: int = SEED, spares: int = 64, tasks: int = 0) -> tuple[KMeans, int]:
+    """As fit_kmeans, in one job, and the number of distances made: the tasks of a barrier stage hold rows and bounds in memory for all rounds.
+
+    A round exchanges clusters x (features + 1) numbers. For rows that fit the
+    memory of the session's cores; if a task is lost, the stage starts again.
+    """
+    first = seeded_rows(df, n_clusters + spares, seed)
+    if len(first) < n_clusters:
+        raise ValueError("fewer rows than clusters")
+    n_tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [matrix(b.column("features")) for b in batches if b.num_rows]
+        meeting = Meeting(BarrierTaskContext.get())
+        centroids, spare, moved = first[:n_clusters].copy(), list(first[n_clusters:]), None
+        rows = Bounded(np.concatenate(held) if held else np.zeros((0, centroids.shape[1])))
+        for n_iter in range(1, max_iter + 1):
+            rows.assign(centroids, moved)
+            part = np.zeros((n_clusters, centroids.shape[1] + 1))
+            np.add.at(part, rows.cluster, np.column_stack([rows.x, np.ones(len(rows.x))]))
+            total = meeting.total(part)
+            new = np.array([t[:-1] / t[-1] if t[-1] else spare.pop(0) if spare else c for t, c in zip(total, centroids, strict=True)])
+            still, moved = np.allclose(centroids, new), np.sqrt(((new - centroids) ** 2).sum(axis=1))
+            centroids = new
+            if still:
+                break
+        made = int(meeting.total(np.array([float(rows.made)]))[0])
+        meeting.close()
+        if meeting.me == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([n_iter]), pa.array([made]), pa.array([centroids.ravel()], pa.list_(pa.float64()))], names=["n_iter", "made", "centroids"])
+
+    found = written(df.select("id", "features").repartition(n_tasks, "id").mapInArrow(fit, "n_iter bigint, made bigint, centroids array<double>", barrier=True), "kmeans").first()
+    return KMeans(np.array(found.centroids).reshape(n_clusters, -1), int(found.n_iter)), int(found.made)
+
+
 def inertia(df: DataFrame, centroids: np.ndarray) -> DataFrame:
     """One row: the sum of squared distances to the nearest centroid."""
     return assign(df, centroids).agg(F.sum("dist").alias("inertia"))

@@ -112,6 +112,31 @@ def test_kmeans(spark, separable):
     assert kmeans.inertia(separable, model.centroids).first().inertia == pytest.approx(kmeans.squared_distances(x, model.centroids).min(axis=1).sum())
 
 
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_held_rounds_equal_the_jobs(spark, tasks):
+    """Same centroids and rounds with far fewer distances, also with equal rows, ties and a cluster that starts empty."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(0, 6, (9, 4))
+    x = centers[rng.integers(0, 9, 900)] + rng.normal(0, 0.6, (900, 4))
+    x[:60] = x[0]
+    data = spark.createDataFrame([(i, f.tolist(), 0) for i, f in enumerate(x)], "id long, features array<double>, label int").persist()
+    want = kmeans.fit_kmeans(data, 9)
+    got, made = kmeans.fit_kmeans_held(data, 9, tasks=tasks)
+    assert got.n_iter == want.n_iter and np.allclose(got.centroids, want.centroids, rtol=0, atol=1e-9)
+    assert made < 900 * 9 * want.n_iter / 2
+
+
+def test_bounds_never_miss_a_nearer_centroid():
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(0, 2, (2000, 2)))  # many ties
+    rows, centroids, moved = kmeans.Bounded(x), np.round(rng.normal(0, 2, (12, 2))), None
+    for _ in range(15):
+        rows.assign(centroids, moved)
+        assert (rows.cluster == kmeans.squared_distances(x, centroids).argmin(axis=1)).all()
+        step = np.where(rng.random((12, 1)) < 0.5, np.round(rng.normal(0, 1, (12, 2))), 0.0)
+        centroids, moved = centroids + step, np.sqrt((step**2).sum(axis=1))
+
+
 def test_empty_cluster_takes_a_spare_row(spark):
     data = spark.createDataFrame([(i, [float(i // 5)], 0) for i in range(10)], "id long, features array<double>, label int")
     new = kmeans.update(data, np.array([[0.0], [1.0], [50.0]]), [np.array([7.0])])
