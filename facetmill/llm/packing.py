@@ -47,7 +47,7 @@ GROUP = 512
 #: Texts with so many white-space characters in a row are read by another library.
 LONG_SPACE = 100_000
 #: Rows of a task in packing: a partition has about this many documents while there are partitions enough.
-DOCS_PER_TASK = 4096
+DOCS_PER_TASK = 16_384
 
 
 @functools.lru_cache(maxsize=2)
