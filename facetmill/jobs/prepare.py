@@ -1,4 +1,4 @@
-"""From a folder of images to features, with the fitted parameters kept beside them."""
+"""From a folder of images to features, and what is learned on the way."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import base_name, label_of, natural_key
 from ..operators.features import Components, Scaler, common_shape, fit_pca, fit_scaler, load_model, project, save_model, standardise
-from ..sources.images import cropped, described, first_files, fit_names, list_images
+from ..sources.images import cropped, described, first_files
 
 
 @dataclass
@@ -28,10 +29,18 @@ class Pipeline:
         return Pipeline(int(m["shape"][0]), int(m["shape"][1]), Scaler(m["mean"], m["std"]), Components(m["pca_mean"], m["components"], m["ratio"]))
 
 
+def listed(spark: SparkSession, folder: str, pattern: str = "*.pgm") -> DataFrame:
+    """(path, name, label, length, modified) of every image file, none of which is opened; an error if there is none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    if files.select("path").isEmpty():
+        raise FileNotFoundError(f"no {pattern} in {folder}")
+    name = base_name(F.col("path"))
+    return files.select("path", name.alias("name"), label_of(name).alias("label"), "length", F.col("modificationTime").alias("modified"))
+
+
 def fit_pipeline(files: DataFrame, fit_limit: int = 800, n_components: int = 225, equalise: bool = True) -> Pipeline:
-    """Learns shape, scaling and components from the first images in natural order."""
-    names = fit_names(files, fit_limit)
-    images = cropped(files.join(names.select("name"), "name", "left_semi")).where("h is not null").join(names, "name")
+    """Learns shape, scaling and components from the first images in natural order (all that are given, if the limit is not positive)."""
+    images = cropped(first_files(files, fit_limit)).where("h is not null").withColumn("ord", natural_key(F.col("name")))
     shape = common_shape(images).first()
     if shape is None:
         raise ValueError("no image could be read")
@@ -44,23 +53,17 @@ def fit_pipeline(files: DataFrame, fit_limit: int = 800, n_components: int = 225
 
 
 def apply_pipeline(files: DataFrame, pipeline: Pipeline, equalise: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(name, label, features) of images of the common shape, and the names of all others."""
+    """(path, name, label, features) of images of the common shape, and path, name and shape of all others; files without path have none here either."""
     images = cropped(files)
     fits = (F.col("h") == pipeline.h) & (F.col("w") == pipeline.w)
     features = project(standardise(described(images.where(fits), equalise), pipeline.scaler), pipeline.pca)
-    return features.select("name", "label", "features"), images.where(~F.coalesce(fits, F.lit(False))).select("name", "h", "w")
+    keys = [c for c in ("path", "name") if c in files.columns]
+    return features.select(*keys, "label", "features"), images.where(~F.coalesce(fits, F.lit(False))).select(*keys, "h", "w")
 
 
 def prepare(spark: SparkSession, folder: str, out: str, fit_limit: int = 800, n_components: int = 225) -> tuple[DataFrame, Pipeline]:
-    """Features of a folder, written below ``out`` under a name that holds the parameters, or read from there."""
-    path = f"{out}/limit={fit_limit}-components={n_components}"
-    try:
-        return spark.read.parquet(f"{path}/features"), Pipeline.load(spark, f"{path}/pipeline")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    files = list_images(spark, folder)
-    pipeline = fit_pipeline(first_files(files, fit_limit), fit_limit, n_components)
-    pipeline.save(spark, f"{path}/pipeline")
-    apply_pipeline(files, pipeline)[0].write.parquet(f"{path}/features")
-    return spark.read.parquet(f"{path}/features"), pipeline
+    """(path, name, label, features) of a folder and what was fitted, from the store below ``out`` whose name holds the parameters; only what is new is described."""
+    from .store import refresh
+
+    found = refresh(spark, folder, f"{out}/limit={fit_limit}-components={n_components}", fit_limit, n_components)
+    return found.features, found.pipeline

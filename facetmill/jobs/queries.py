@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import label_of, natural_key, picture_key
+from ..functions.names import label_of, picture_key
 from ..operators import features as feat
 from ..operators import kmeans, knn, metrics, selection, softmax, svm
 from ..operators.splits import kfold, nested_folds, stratified_holdout
-from ..sources.images import cropped, described, prediction_line
-from ..sources.shared import written
+from ..sources.images import cropped, described, fit_names, prediction_line
+from ..sources.pnm import read_pnm, write_pnm
+from ..sources.shared import shared_path, written
 from ..sources.vectors import read_embeddings, trainable
+from .store import refresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -162,19 +164,32 @@ H, W = 16, 24
     select id, name, cast(label as int) as label, cast(picture as bigint) as picture, place <= 100 as in_fit from o""")
 def natural_sort_labels(spark, sf_dir):
     named = read_embeddings(spark, sf_dir).select("id", F.expr(NAME.replace("vec_id", "id")).alias("name"))
-    first = named.orderBy(natural_key(F.col("name")), "name").limit(100).select("name", F.lit(True).alias("hit"))
+    first = fit_names(named, 100).select("name", F.lit(True).alias("hit"))
     keyed = named.select("id", "name", label_of(F.col("name")).alias("label"), picture_key(F.col("name")).alias("picture"))
     return keyed.join(first, "name", "left").select("id", "name", "label", "picture", F.coalesce("hit", F.lit(False)).alias("in_fit"))
 
 
-def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A gray image file per embedding: pixels from its numbers, bars of 127 at the sides."""
+def pixels() -> Column:
+    """The gray values of an embedding's image: made from its numbers, bars of 127 at the sides."""
     pixel = lambda i: F.when((i % W < F.col("id") % 4) | (i % W >= W - F.floor(F.col("id") / 4) % 3), F.lit(127)).otherwise(F.floor(F.abs(F.element_at("features", (i % 64 + 1).cast("int"))) * 1000) % 256)
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(H * W - 1)), lambda i: F.lpad(F.hex(pixel(i).cast("long")), 2, "0"))
-    content = F.concat(F.lit(f"P5 {W} {H} 255\n").cast("binary"), F.unhex(F.array_join(pixels, "")))
+    return F.transform(F.sequence(F.lit(0), F.lit(H * W - 1)), lambda i: pixel(i).cast("long"))
+
+
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content of a gray image file per embedding."""
+    digits = F.transform(pixels(), lambda v: F.lpad(F.hex(v), 2, "0"))
+    content = F.concat(F.lit(f"P5 {W} {H} 255\n").cast("binary"), F.unhex(F.array_join(digits, "")))
     return read_embeddings(spark, sf_dir).select(F.col("id").cast("string").alias("name"), "label", content.alias("content"))
 
 
+def image_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of image files, one per embedding, named by NAME."""
+    folder = shared_path(spark, "images")
+    rows = read_embeddings(spark, sf_dir).select(F.expr(NAME.replace("vec_id", "id")).alias("name"), F.lit(H).alias("h"), F.lit(W).alias("w"), pixels().cast("array<float>").alias("pix"))
+    write_pnm(rows, folder)
+    return folder
+
+
 PIXELS = f"""px as (
         select vec_id as img, r, c, case when c < vec_id % 4 or c >= {W} - (vec_id // 4) % 3 then 127 else cast(floor(abs(cast(embedding[((r * {W} + c) % 64) + 1] as double)) * 1000) as bigint) % 256 end as v
         from embeddings, (select unnest(range({H})) as r), (select unnest(range({W})) as c)
@@ -185,6 +200,23 @@ PIXELS = f"""px as (
     cp as (select px.img, px.r, px.c - bars.l as c, cast(px.v as double) / 255 as v, {W} - bars.l - bars.r as w from px join bars on px.img = bars.img where px.c >= bars.l and px.c < {W} - bars.r)"""
 
 
+@query(f"""with {PIXELS}, n as (select vec_id, {NAME} as name, cast(case when vec_id % 50 = 0 then -1 else label end as int) as label from embeddings)
+    select n.name, n.label, cast({H} as int) as h, cast({W} as int) as w, cast(sum(px.v) as bigint) as total, cast(sum(px.v * (px.r * {W} + px.c + 1)) as bigint) as weighted
+    from px join n on px.img = n.vec_id group by n.name, n.label""")
+def image_source(spark, sf_dir):
+    """Images written as files and read by the data source: their names, labels, sizes and sums of gray values."""
+    images = read_pnm(spark, image_folder(spark, sf_dir), "name string, label int, h int, w int, pix array<float>")
+    summed = lambda f: F.aggregate(F.transform("pix", f), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return images.select("name", "label", "h", "w", summed(lambda v: v.cast("bigint")).alias("total"), summed(lambda v, i: v.cast("bigint") * (i + 1)).alias("weighted"))
+
+
+@query()
+def image_feature_job(spark, sf_dir):
+    """The whole feature job over a folder of files: fitted on the first 800, described, kept in a store."""
+    found = refresh(spark, image_folder(spark, sf_dir), shared_path(spark, "store"))
+    return found.features.select("name", "label", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
 @query(f'with {PIXELS} select cast(img as bigint) as id, cast({H} as int) as h, cast({W} - l - r as int) as w, cast(l as int) as left_bar, cast(r as int) as right_bar from bars')
 def gray_bar_crop(spark, sf_dir):
     return cropped(image_files(spark, sf_dir)).select(F.col("name").cast("bigint").alias("id"), "h", "w", F.col("left").alias("left_bar"), F.col("right").alias("right_bar"))

@@ -10,12 +10,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.images import clahe, crop_bars, decode_pnm, hog
 from ..functions.names import base_name, label_of, natural_key, picture_key
 
-IMAGE = "name string, label int, h int, w int, left int, right int, pix array<float>"
-
 
 def list_images(spark: SparkSession, folder: str, pattern: str = "*.pgm") -> DataFrame:
     """(path, name, label, content) of every image file; an error if there is none."""
@@ -32,34 +31,41 @@ def named_images(files: DataFrame) -> DataFrame:
 
 
 def fit_names(files: DataFrame, fit_limit: int) -> DataFrame:
-    """(name, ord) of the first ``fit_limit`` images in natural order (all, if it is not positive); contents are not read."""
-    names = files.select("name")
-    if fit_limit > 0:
-        names = names.orderBy(natural_key(F.col("name")), "name").limit(fit_limit)
-    return names.withColumn("ord", natural_key(F.col("name")))
+    """(path, where there is one, and name) of the first ``fit_limit`` images in natural order (all, if it is not positive); contents are not read."""
+    names = files.select(*[c for c in ("path", "name") if c in files.columns])
+    return names.orderBy(natural_key(F.col("name")), "name", *({"path"} & set(names.columns))).limit(fit_limit) if fit_limit > 0 else names
+
+
+def _with(df: DataFrame, dropped: set[str], added: str) -> tuple[list[str], StructType]:
+    """The columns that a pass keeps as they are, and its schema."""
+    kept = [f for f in df.schema.fields if f.name not in dropped]
+    return [f.name for f in kept], StructType([*kept, *StructType.fromDDL(added).fields])
 
 
 def cropped(files: DataFrame) -> DataFrame:
-    """Decoded images without their gray side bars; files that can't be read have null h, w and pix."""
+    """Decoded images without their gray side bars in place of content; files that can't be read have null h, w and pix."""
+    kept, schema = _with(files, {"content"}, "h int, w int, left int, right int, pix array<float>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for name, label, content in zip(*[batch.column(c).to_pylist() for c in ("name", "label", "content")], strict=True):
+            for content in batch.column("content").to_pylist():
                 image = decode_pnm(content)
                 if image is None:
-                    rows.append((name, label, None, None, None, None, None))
+                    rows.append((None,) * 5)
                 else:
                     image, left, right = crop_bars(image)
-                    rows.append((name, label, *image.shape, left, right, image.ravel()))
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float32())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["name", "label", "h", "w", "left", "right", "pix"])
+                    rows.append((*image.shape, left, right, image.ravel()))
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float32())]
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], names=schema.names)
 
-    return files.select("name", "label", "content").mapInArrow(run, IMAGE)
+    return files.mapInArrow(run, schema)
 
 
 def described(images: DataFrame, equalise: bool = True) -> DataFrame:
-    """Adds features: the gradient histogram of each (equalised) image; columns name, label, h, w, features."""
+    """The gradient histogram, features, of each (equalised) image in place of its pixels."""
+    kept, schema = _with(images, {"left", "right", "pix"}, "features array<double>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,9 +73,9 @@ def described(images: DataFrame, equalise: bool = True) -> DataFrame:
             for h, w, pix in zip(batch.column("h").to_pylist(), batch.column("w").to_pylist(), batch.column("pix"), strict=True):
                 image = np.asarray(pix.values).reshape(h, w)
                 found.append(hog(clahe(image) if equalise else image))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("name", "label", "h", "w")], pa.array(found, pa.list_(pa.float64()))], names=["name", "label", "h", "w", "features"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.list_(pa.float64()))], names=schema.names)
 
-    return images.where("pix is not null").select("name", "label", "h", "w", "pix").mapInArrow(run, "name string, label int, h int, w int, features array<double>")
+    return images.where("pix is not null").select(*kept, "pix").mapInArrow(run, schema)
 
 
 def in_picture_order(predictions: DataFrame) -> DataFrame:
@@ -104,6 +110,6 @@ def first_files(files: DataFrame, fit_limit: int) -> DataFrame:
     """The first ``fit_limit`` images in natural order (all, if it is not positive): their paths are chosen by name, and only these files are opened."""
     if fit_limit <= 0:
         return files
-    paths = [r.path for r in files.select("path", "name").orderBy(natural_key(F.col("name")), "name").limit(fit_limit).collect()]  # at most fit_limit
+    paths = [r.path for r in fit_names(files, fit_limit).collect()]  # at most fit_limit
     literal = lambda path: re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
     return named_images(files.sparkSession.read.format("binaryFile").load([literal(p) for p in paths])) if paths else files

@@ -121,3 +121,170 @@ def test_the_fit_opens_only_its_files(spark, tmp_path):
     files = list_images(spark, str(tmp_path))
     assert {r.name for r in first_files(files, 3).collect()} == {"p1_i1.pgm", "p1_i2.pgm", "p1_i10.pgm"}
     assert first_files(files, 0).count() == 5 and first_files(files, 9).count() == 5
+
+
+def test_source_reads_what_is_asked_for(spark, folder):
+    from facetmill.sources.pnm import read_pnm
+
+    new = str(folder / "new")
+    names = read_pnm(spark, new, "path string, name string, label int, length bigint, modified timestamp")
+    want = {(r.path, r.length, r.modificationTime) for r in spark.read.format("binaryFile").load(new).select("path", "length", "modificationTime").collect()}
+    assert {(r.path, r.length, r.modified.replace(microsecond=r.modified.microsecond // 1000 * 1000)) for r in names.collect()} == want
+    assert {r.label for r in names.collect()} == {-1} and names.count() == 11
+    images = {r.name: r for r in read_pnm(spark, f"file://{new}").collect()}
+    assert images["pic21.pgm"].pix is None and (images["pic20.pgm"].h, images["pic20.pgm"].w) == (8, 8)
+    assert images["pic3.pgm"].pix == decode_pnm((folder / "new/pic3.pgm").read_bytes()).ravel().tolist()
+    assert {r.label for r in read_pnm(spark, str(folder / "known"), "label int").collect()} == {0, 1, 2}
+    with pytest.raises(Exception, match="no \\*.none"):
+        read_pnm(spark, new, pattern="*.none").collect()
+    with pytest.raises(Exception, match="no such columns"):
+        read_pnm(spark, new, "nothing int").collect()
+
+
+def test_names_are_read_without_opening_files(spark, tmp_path):
+    from facetmill.sources.pnm import PnmReader, StructType
+
+    (tmp_path / "p7_i1.pgm").symlink_to(tmp_path / "target")
+    (tmp_path / "target").write_bytes(p5(np.zeros((16, 16))))
+    for i in range(9):
+        (tmp_path / f"p{i}_i2.pgm").write_bytes(b"x" * 1000)
+    reader = PnmReader({"path": str(tmp_path), "partitionbytes": "12000"}, StructType.fromDDL("name string, label int"))
+    parts = reader.partitions()
+    assert [len(p.rows) for p in parts] == [2, 2, 2, 2, 2]
+    (tmp_path / "target").unlink()  # whoever opened it would fail
+    got = [(n, lab) for p in parts for b in reader.read(p) for n, lab in zip(*[b.column(i).to_pylist() for i in (0, 1)], strict=True)]
+    assert sorted(got) == sorted([("p7_i1.pgm", 7), *[(f"p{i}_i2.pgm", i) for i in range(9)]])
+
+
+def test_written_images_are_read_again(spark, tmp_path):
+    from facetmill.sources.pnm import read_pnm, write_pnm
+
+    rng = np.random.default_rng(5)
+    rows = [(f"p{i}_i{i}.pgm", 4, 5, [float(v) for v in rng.integers(2, 256, 20)]) for i in range(40)]
+    schema = "name string, h int, w int, pix array<float>"
+    for _ in range(2):  # again: the same files
+        write_pnm(spark.createDataFrame(rows, schema).repartition(3), f"file://{tmp_path}/a b%20c")
+    got = read_pnm(spark, f"{tmp_path}/a b%20c").select("name", "h", "w", "pix").collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
+    assert len(list((tmp_path / "a b%20c").iterdir())) == 40
+    for bad in [("../x.pgm", 1, 1, [1.0]), ("x.pgm", 2, 2, [1.0]), (None, 1, 1, [1.0])]:
+        with pytest.raises(Exception, match="not a file name|are not"):
+            write_pnm(spark.createDataFrame([bad], schema), str(tmp_path / "bad"))
+
+
+@pytest.fixture
+def growing(tmp_path):
+    """A folder of 40 images, and a function that adds others."""
+    rng, top = np.random.default_rng(11), tmp_path / "grow"
+    top.mkdir()
+
+    def add(*numbers):
+        for i in numbers:
+            (top / f"p{i % 3}_i{i}.pgm").write_bytes(p5(rng.integers(0, 256, (24, 32))))
+
+    add(*range(40))
+    return top, add
+
+
+def stored(snapshot):
+    return {r.path.rsplit("/", 1)[-1]: (r.label, np.array(r.features)) for r in snapshot.features.collect()}
+
+
+def same_rows(a, b):
+    return a.keys() == b.keys() and all(a[k][0] == b[k][0] and np.allclose(a[k][1], b[k][1], atol=1e-9) for k in a)
+
+
+def test_store_describes_only_what_is_new(spark, tmp_path, growing):
+    from facetmill.jobs.store import refresh
+
+    top, add = growing
+    run = lambda store, **kw: refresh(spark, str(top), f"file://{tmp_path}/{store}", 20, 6, **kw)
+    first = run("s")
+    assert (first.version, first.described, first.kept, first.refitted) == (1, 40, 0, True)
+    again = run("s")
+    assert (again.version, again.described, again.kept) == (1, 0, 40) and same_rows(stored(first), stored(again))
+    add(3000, 3001, 2001)  # labels 0, 1, 0: not among the first 20 in natural order
+    (top / "p2_i38.pgm").write_bytes(p5(np.random.default_rng(12).integers(0, 256, (24, 32)).repeat(1, 0))[:-1] + b"\x07")
+    (top / "p2_i35.pgm").unlink()
+    (top / "p2_i5000.pgm").write_bytes(b"P5 broken")
+    grown = run("s", keep_fit=True)
+    assert grown.refitted is False and grown.kept == 38 and grown.described == 5
+    got = stored(grown)
+    assert "p2_i5000.pgm" not in got and "p2_i35.pgm" not in got and len(got) == 42
+    before = stored(first)
+    assert all((got[k][1] == before[k][1]).all() for k in before if k not in ("p2_i38.pgm", "p2_i35.pgm")) and not np.allclose(got["p2_i38.pgm"][1], before["p2_i38.pgm"][1])
+    fresh = run("other")
+    assert same_rows(stored(run("s")), stored(fresh))  # without keep_fit it is always what a fresh run gives
+
+
+def test_store_survives_a_refresh_that_dies(spark, tmp_path, growing, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from facetmill.jobs import store as st
+
+    top, add = growing
+    where = f"file://{tmp_path}/s"
+    run = lambda: st.refresh(spark, str(top), where, 10, 4, keep_fit=True)
+    before = stored(run())
+    real = DataFrameWriter.parquet
+    for stage in ("/parts/", "/manifests/", "/versions"):
+        add(9000 + len(stage))
+
+        def dies(self, path, *a, stage=stage, **kw):
+            if where in path and stage in path:
+                raise RuntimeError("lost")
+            return real(self, path, *a, **kw)
+
+        monkeypatch.setattr(DataFrameWriter, "parquet", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            run()
+        assert same_rows(before, {r.path.rsplit("/", 1)[-1]: (r.label, np.array(r.features)) for r in st.rows_of(spark, where, st.newest(spark, where)).collect()})
+        monkeypatch.setattr(DataFrameWriter, "parquet", real)
+    after = run()
+    assert after.described == 3 and after.version == 2 and len(stored(after)) == 43
+
+
+def test_store_joins_its_parts(spark, tmp_path, growing, monkeypatch):
+    from facetmill.jobs import store as st
+
+    top, add = growing
+    monkeypatch.setattr(st, "MOST_PARTS", 2)
+    where = f"file://{tmp_path}/s"
+    for step in range(4):
+        snapshot = st.refresh(spark, str(top), where, 10, 4, keep_fit=True)
+        assert len(stored(snapshot)) == 40 + step and snapshot.described == (1 if step else 40)
+        assert len(st.newest(spark, where).parts) == (1, 2, 1, 2)[step]
+        add(7000 + step)
+
+
+def test_equal_names_in_two_folders(spark, tmp_path):
+    for i, part in enumerate(("a", "b")):
+        (tmp_path / "in" / part).mkdir(parents=True)
+        for n in range(6):
+            (tmp_path / "in" / part / f"p{n % 2}_i{n}.pgm").write_bytes(p5(np.random.default_rng(i * 10 + n).integers(0, 256, (24, 24))))
+    files = list_images(spark, f"{tmp_path}/in/*")
+    features, _ = apply_pipeline(files, fit_pipeline(files, fit_limit=9, n_components=3))
+    rows = features.collect()
+    assert len(rows) == len({r.path for r in rows}) == len({tuple(r.features) for r in rows}) == 12
+
+
+def test_feature_job_over_a_folder(spark):
+    """The query's rows against the same steps in NumPy: scores on the components of the fitted images, up to their signs, have the same inner products."""
+    from facetmill.jobs.queries import QUERIES, image_files
+    from facetmill.sources.vectors import read_embeddings
+
+    sf = "/root/testdata/sf0.001"
+    got = {int(r.name.rsplit("_i", 1)[-1].lstrip("x").removesuffix(".pgm")): r for r in QUERIES["image_feature_job"](spark, sf).collect()}
+    images = {int(r.name): crop_bars(decode_pnm(bytes(r.content)))[0] for r in image_files(spark, sf).collect()}
+    shapes = [i.shape for i in images.values()]
+    most = max(set(shapes), key=shapes.count)
+    assert shapes.count(most) == len(got) and len(images) == read_embeddings(spark, sf).count()
+    ids = sorted(got)
+    x = np.array([hog(clahe(images[i])) for i in ids])
+    std = x.std(axis=0)
+    x = (x - x.mean(axis=0)) / np.where(std < 1e-6, 1.0, std)
+    f = np.array([got[i].features for i in ids])
+    n = f.shape[1]
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    want = (u[:, :n] * s[:n]) @ (u[:, :n] * s[:n]).T
+    assert n == min(225, *x.shape) and np.allclose(f @ f.T, want, atol=1e-3)
