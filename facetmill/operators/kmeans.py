@@ -15,6 +15,7 @@ from ..functions.blocks import arrays, matrix
 from ..functions.meeting import Meeting
 from ..functions.ordering import seeded_key
 from ..sources.shared import written
+from .assignment import best_map
 from .metrics import accuracy, contingency
 
 SEED = 42
@@ -173,50 +174,14 @@ def inertia(df: DataFrame, centroids: np.ndarray) -> DataFrame:
     return assign(df, centroids).agg(F.sum("dist").alias("inertia"))
 
 
-def best_assignment(counts: np.ndarray) -> list[tuple[int, int]]:
-    """(row, column) pairs, each used once, with the largest total count: the Hungarian method on a small table."""
-    n = max(counts.shape)
-    cost = np.zeros((n + 1, n + 1))
-    cost[1 : counts.shape[0] + 1, 1 : counts.shape[1] + 1] = -counts
-    u, v, row_of, way = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, dtype=int), np.zeros(n + 1, dtype=int)
-    for i in range(1, n + 1):
-        row_of[0], j = i, 0
-        least, done = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=bool)
-        while True:
-            done[j] = True
-            slack = cost[row_of[j]] - u[row_of[j]] - v
-            open_ = ~done
-            open_[0] = False
-            closer = open_ & (slack < least)
-            least[closer], way[closer] = slack[closer], j
-            step_to = int(np.flatnonzero(open_)[least[open_].argmin()])
-            delta = least[step_to]
-            u[row_of[done]] += delta
-            v[done] -= delta
-            least[open_] -= delta
-            j = step_to
-            if row_of[j] == 0:
-                break
-        while j:
-            row_of[j] = row_of[way[j]]
-            j = way[j]
-    return [(int(row_of[j]) - 1, j - 1) for j in range(1, n + 1) if row_of[j] <= counts.shape[0] and j <= counts.shape[1]]
-
-
-def label_map(clusters: DataFrame) -> DataFrame:
+def label_map(clusters: DataFrame, tasks: int = 0) -> DataFrame:
     """(cluster, mapped): the one-to-one map of clusters to labels with the most rows in agreement; surplus clusters have none."""
-    cells = contingency(clusters).orderBy("label", "cluster").collect()  # labels x clusters at most
-    labels, groups = sorted({r.label for r in cells}), sorted({r.cluster for r in cells})
-    counts = np.zeros((len(labels), len(groups)))
-    for r in cells:
-        counts[labels.index(r.label), groups.index(r.cluster)] = r.n
-    pairs = [(groups[j], labels[i]) for i, j in best_assignment(counts)] if cells else []
-    return clusters.sparkSession.createDataFrame(pairs, "cluster int, mapped int")
+    return best_map(contingency(clusters), "cluster", "label", tasks=tasks).select("cluster", F.col("label").alias("mapped"))
 
 
 def apply_label_map(clusters: DataFrame, mapping: DataFrame) -> DataFrame:
     """Adds prediction: the cluster's label, -1 where it has none."""
-    return clusters.join(F.broadcast(mapping), "cluster", "left").withColumn("prediction", F.coalesce("mapped", F.lit(-1))).drop("mapped")  # a row per cluster
+    return clusters.join(mapping, "cluster", "left").withColumn("prediction", F.coalesce("mapped", F.lit(-1))).drop("mapped")
 
 
 def mapped_accuracy(train: DataFrame, test: DataFrame) -> DataFrame:

@@ -143,16 +143,6 @@ def test_empty_cluster_takes_a_spare_row(spark):
     assert new.ravel().tolist() == [0.0, 1.0, 7.0]
 
 
-def test_assignment_equals_brute_force():
-    rng = np.random.default_rng(2)
-    for rows, cols in itertools.product((1, 2, 4, 5), repeat=2):
-        counts = rng.integers(0, 20, (rows, cols)).astype(float)
-        pairs = kmeans.best_assignment(counts)
-        small = min(rows, cols)
-        best = max(sum(counts[i, j] for i, j in zip(r, c, strict=True)) for r in itertools.permutations(range(rows), small) for c in itertools.combinations(range(cols), small))
-        assert len(pairs) == small and sum(counts[i, j] for i, j in pairs) == best
-
-
 def test_surplus_clusters_have_no_label(spark):
     rows = spark.createDataFrame([(1, 0), (1, 0), (1, 5), (2, 7)], "label int, cluster int")
     mapped = kmeans.apply_label_map(rows, kmeans.label_map(rows)).collect()
