@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import label_of, picture_key
 from ..operators import features as feat
 from ..operators import kmeans, knn, metrics, selection, softmax, svm
+from ..operators.estimators import EstimatorFamily
 from ..operators.splits import kfold, nested_folds, stratified_holdout
 from ..sources.images import cropped, described, fit_names, prediction_line
 from ..sources.pnm import read_pnm, write_pnm
@@ -634,6 +636,22 @@ def knn_cross_validation(spark, sf_dir):
     return config_to_k(selection.cross_validate(read_embeddings(spark, sf_dir), knn_family())).select("fold", "k", six("accuracy"))
 
 
+@query(f"""with {V}, o as (select *, ntile(5) over (order by md5('42:' || id), id) as own from v),
+    tr as (select g.fold, o.* from o join (select unnest(range(1, 6)) as fold) g on g.fold <> o.own),
+    e as (select fold, label, unnest(f) as x, unnest(range(1, len(f) + 1)) as pos from tr),
+    whole as (select fold, 1e-9 * max(s) as eps from (select fold, pos, var_samp(x) as s from e group by fold, pos) group by fold),
+    fit as (select e.fold, e.label, pos, avg(x) as m, var_pop(x) + any_value(eps) as s from e join whole on whole.fold = e.fold group by e.fold, e.label, pos),
+    prior as (select fold, label, ln(count(*)) as p from tr group by fold, label),
+    x as (select own as fold, id, label as truth, unnest(f) as x, unnest(range(1, len(f) + 1)) as pos from o),
+    sc as (select x.fold, x.id, x.truth, fit.label, sum(-ln(s) / 2 - (x - m) * (x - m) / (2 * s)) as score from x join fit on fit.fold = x.fold and fit.pos = x.pos group by all),
+    pr as (select sc.*, row_number() over (partition by sc.fold, id order by score + p desc, sc.label) as o from sc join prior on prior.fold = sc.fold and prior.label = sc.label)
+    select cast(fold as int) as fold, round(avg(case when truth = label then 1.0 else 0.0 end), 6) as accuracy from pr where o = 1 group by fold""")
+def estimator_cross_validation(spark, sf_dir):
+    """Cross-validation of an estimator of MLlib, normal densities of each feature within each class."""
+    family = EstimatorFamily(NaiveBayes(modelType="gaussian"))
+    return selection.cross_validate(read_embeddings(spark, sf_dir), family).select("fold", six("accuracy"))
+
+
 @query()
 def model_comparison(spark, sf_dir):
     """Nested cross-validation of all three families with all their settings, and the best of them."""

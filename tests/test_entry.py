@@ -9,7 +9,7 @@ import __spark_entry__
 from facetmill.jobs.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["stratified_split", "kfold_assign", "nested_fold_assign", "scaler_fit", "natural_sort_labels", "gray_bar_crop", "hog_features", "knn_predict_p2", "class_report_union", "kmeans_fit", "adjusted_rand", "mutual_information", "softmax_gd_step", "model_table", "submission_line", "shape_counts", "svm_votes", "knn_sweep", "knn_nested_cv", "best_of_families", "label_map_matched", "kmeans_held_fit", "image_source"]
+NAMES = ["stratified_split", "kfold_assign", "nested_fold_assign", "scaler_fit", "natural_sort_labels", "gray_bar_crop", "hog_features", "knn_predict_p2", "class_report_union", "kmeans_fit", "adjusted_rand", "mutual_information", "softmax_gd_step", "model_table", "submission_line", "shape_counts", "svm_votes", "knn_sweep", "knn_nested_cv", "best_of_families", "label_map_matched", "kmeans_held_fit", "image_source", "estimator_cross_validation"]
 
 
 def plain(rows):
