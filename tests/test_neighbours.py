@@ -48,3 +48,41 @@ def test_queries_go_to_few_cells(spark, monkeypatch):
     second = knn.targets(queries.join(near, "id"), known, 5, (2,))
     assert 100 <= first.count() and first.count() + second.count() < 100 * 24 / 3
     assert sum(c.counts.sum() for c in known.values()) == placed.count() == 1200
+
+
+@pytest.mark.parametrize("p", [1, 2, 3, 4])
+@pytest.mark.parametrize("kind", ["plain", "copies", "far", "huge", "holes"])
+def test_screened_search_is_the_plain_one(p, kind, monkeypatch):
+    rng = np.random.default_rng(p)
+    x, queries, ids = rng.normal(0, 1, (700, 6)), rng.normal(0, 1, (60, 6)), rng.permutation(700)
+    if kind == "copies":
+        x[100:500] = x[0]
+        queries[:20] = x[0]
+    if kind == "far":
+        x, queries = x * 1e-4 + 1000, queries * 1e-4 + 1000
+    if kind == "huge":
+        x, queries = x * 1e60, queries * 1e60
+    if kind == "holes":
+        x[::3, 2], queries[5, 0] = np.nan, np.inf
+    monkeypatch.setattr(knn, "BLOCK_CELLS", 800)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 16)
+    with np.errstate(all="ignore"):
+        parts = list(knn.nearest(queries, knn.Rows(x, ids), 9, p))
+        exact = knn.distances(queries, x, p)
+    query, near, dist = (np.concatenate(c) for c in zip(*parts, strict=True))
+    for i in range(60):
+        order = np.lexsort((ids, exact[i]))[:9]
+        assert near[query == i].tolist() == order.tolist() and np.array_equal(dist[query == i], exact[i][order], equal_nan=True)
+
+
+def test_a_search_is_small_in_memory():
+    """A shard of 50,000 rows took several arrays of 512 queries times all rows."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    rows, queries = knn.Rows(rng.normal(0, 1, (50_000, 8)), np.arange(50_000)), rng.normal(0, 1, (512, 8))
+    tracemalloc.start()
+    for p in (1, 2, 3):
+        assert sum(len(d) for _, _, d in knn.nearest(queries, rows, 11, p)) == 512 * 11
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
