@@ -437,7 +437,7 @@ def label_map_accuracy(spark, sf_dir):
 def kmeans_converged(spark, sf_dir):
     """Clusters as they stand when no centroid moves any more, with the number of rounds and the inertia."""
     df = read_embeddings(spark, sf_dir)
-    model = kmeans.fit_kmeans(df, 28, max_iter=300)
+    model = kmeans.fit_kmeans_held(df, 28, max_iter=300)[0]  # one job, not one a round
     return kmeans.inertia(df, model.centroids).select(F.lit(model.n_iter).alias("n_iter"), six("inertia"))
 
 
