@@ -7,9 +7,9 @@ for its host and path, divided by its length, and blocked below a threshold
 that is calibrated on labelled URLs kept out of the fit.
 
 Labels are given as a table of URLs, or, without one, made from a short list of
-words in host names. The fit sees at most ``max_urls`` distinct URLs of each
-class, chosen by hash, of at most ``FIT_LENGTH`` characters, so the model's size
-is bounded; every sequence that occurs in them is kept. The model is held as one
+words in host names. The fit sees every distinct labelled URL, unless the caller
+sets ``max_urls``; every sequence that occurs in them is kept, so the model grows
+with the distinct sequences of ``ORDER`` + 1 characters. The model is held as one
 value: an array of hash buckets, each a small map from character sequence to
 weight. Scoring walks over a URL's characters once, in time proportional to its
 length, and looks sequences up from the longest down, inside one projection
@@ -37,8 +37,6 @@ from pyspark.sql.window import Window
 from .common import hash_sample, written
 
 ORDER = 4
-#: Longer texts are not fitted on (they are scored like any other).
-FIT_LENGTH = 2048
 #: Entries of a bucket of the model, about.
 BUCKET_ENTRIES = 2
 #: Marks the time before a text, and the weight of leaving a context.
@@ -162,15 +160,18 @@ def word_labels(pages: DataFrame, rejected_words: Sequence[str] = REJECTED_WORDS
     return pages.select("url", (~F.arrays_overlap(words, F.array(*map(F.lit, rejected_words)))).alias("accepted"))
 
 
-def fit_sample(labelled: DataFrame, max_urls: int) -> DataFrame:
-    """(text, accepted) of at most ``max_urls`` distinct texts of each class, by hash, of at most FIT_LENGTH characters."""
-    rows = labelled.where("accepted is not null").select(scored_text(F.col("url")).alias("text"), "accepted").where(F.length("text").between(1, FIT_LENGTH)).withColumn("place", F.xxhash64("text"))
+def fit_sample(labelled: DataFrame, max_urls: int | None = None) -> DataFrame:
+    """(text, accepted) of all distinct texts of each class, or of the ``max_urls`` first by hash."""
+    rows = labelled.where("accepted is not null").select(scored_text(F.col("url")).alias("text"), "accepted").where(F.length("text") > 0)
+    if max_urls is None:
+        return rows.distinct()
+    rows = rows.withColumn("place", F.xxhash64("text"))
     about = {r.accepted: r.n for r in rows.groupBy("accepted").agg(F.approx_count_distinct("text").alias("n")).collect()}
     first = lambda flag: hash_sample(rows.where(F.col("accepted") == flag).distinct(), "place", max_urls, about.get(flag, 0))
     return first(True).unionByName(first(False)).drop("place")
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], labelled: DataFrame | None = None, max_urls: int = 20_000) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], labelled: DataFrame | None = None, max_urls: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every page; ``labelled``: (url, accepted), else labels come from REJECTED_WORDS."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("text", F.concat("host", lower_ascii(F.col("path"))))

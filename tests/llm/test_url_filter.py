@@ -141,3 +141,10 @@ def test_words_left_out_of_the_labels_are_mostly_found(spark, word):
 def test_empty_and_one_class(spark):
     assert filter_urls(pages(spark, []), URL_RULES).count() == 0
     assert [r.verdict for r in filter_urls(pages(spark, ["http://a.org/x"] * 3), URL_RULES).collect()] == ["allow"] * 3
+
+
+def test_every_labelled_url_is_fitted_on(spark):
+    """More URLs of a class than a sample held, and one longer than it took."""
+    urls = spark.range(20_500).selectExpr("concat('http://h', id, '.org/') as url", "true as accepted").union(spark.sql("select concat('http://bet.com/', repeat('ab', 2000)), false"))
+    counts = {r.accepted: r["count"] for r in fit_sample(urls).groupBy("accepted").count().collect()}
+    assert counts == {True: 20_500, False: 1}
