@@ -32,10 +32,11 @@ class Pipeline:
 def listed(spark: SparkSession, folder: str, pattern: str = "*.pgm") -> DataFrame:
     """(path, name, label, length, modified) of every image file, none of which is opened; an error if there is none."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    if files.select("path").isEmpty():
+    if not files.select("path").take(1):
         raise FileNotFoundError(f"no {pattern} in {folder}")
     name = base_name(F.col("path"))
-    return files.select("path", name.alias("name"), label_of(name).alias("label"), "length", F.col("modificationTime").alias("modified"))
+    # Spark takes each file for at least 4 MB, so a task would list 32 of them.
+    return files.coalesce(2 * spark.sparkContext.defaultParallelism).select("path", name.alias("name"), label_of(name).alias("label"), "length", F.col("modificationTime").alias("modified"))
 
 
 def fit_pipeline(files: DataFrame, fit_limit: int = 800, n_components: int = 225, equalise: bool = True) -> Pipeline:

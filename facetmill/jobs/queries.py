@@ -187,7 +187,8 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_folder(spark: SparkSession, sf_dir: str) -> str:
     """A folder of image files, one per embedding, named by NAME."""
     folder = shared_path(spark, "images")
-    rows = read_embeddings(spark, sf_dir).select(F.expr(NAME.replace("vec_id", "id")).alias("name"), F.lit(H).alias("h"), F.lit(W).alias("w"), pixels().cast("array<float>").alias("pix"))
+    dealt = read_embeddings(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)  # the table's files may be few
+    rows = dealt.select(F.expr(NAME.replace("vec_id", "id")).alias("name"), F.lit(H).alias("h"), F.lit(W).alias("w"), pixels().cast("array<float>").alias("pix"))
     write_pnm(rows, folder)
     return folder
 

@@ -37,6 +37,8 @@ KINDS = {"path": pa.string(), "name": pa.string(), "label": pa.int32(), "length"
 INSIDE = {"h", "w", "pix"}
 #: Contents a task holds at a time.
 HELD_BYTES = 16 << 20
+#: What opening and describing a small file costs, as if it were so many bytes more.
+OPEN_BYTES = 1 << 14
 _NAME, _LABEL = re.compile(r"[^/\\]+"), re.compile(r"p(\d+)_i")
 
 
@@ -62,8 +64,8 @@ def content_of(path: str) -> bytes | None:
 
 
 def opened(files: DataFrame, partition_bytes: int = 64 << 20) -> DataFrame:
-    """Adds content to rows with path and length, dealt evenly over as many tasks as the bytes need; null if a file is gone or can't be read."""
-    total = files.agg(F.sum("length").alias("n")).first().n or 0
+    """Adds content to rows with path and length, dealt evenly over as many tasks as the bytes and the number of files need; null if a file is gone or can't be read."""
+    total = files.agg(F.sum(F.coalesce("length", F.lit(0)) + OPEN_BYTES).alias("n")).first().n or 0
     kept = files.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

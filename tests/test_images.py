@@ -288,3 +288,16 @@ def test_feature_job_over_a_folder(spark):
     u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
     want = (u[:, :n] * s[:n]) @ (u[:, :n] * s[:n]).T
     assert n == min(225, *x.shape) and np.allclose(f @ f.T, want, atol=1e-3)
+
+
+def test_many_small_files_take_few_tasks_to_list_and_several_to_open(spark, tmp_path):
+    """A task listed 32 files, and one task opened 64 MB of them however many they were."""
+    from facetmill.jobs.prepare import listed
+    from facetmill.sources.pnm import opened
+
+    for i in range(600):
+        (tmp_path / f"p{i % 3}_i{i}.pgm").write_bytes(p5(np.full((2, 2), i % 256)))
+    files = listed(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and files.count() == 600
+    found = opened(files, 1 << 20)
+    assert found.rdd.getNumPartitions() >= 8 and found.where("content is not null").select("path").distinct().count() == 600
