@@ -15,8 +15,10 @@ from pyspark.sql.window import Window
 from ..functions.blocks import arrays, matrix
 from ..sources.shared import written
 
-#: Training rows held by a task, and query rows a task should have at least.
-SHARD_ROWS, QUERY_ROWS = 50_000, 2_000
+#: Training rows held by a task, their numbers at most, and query rows a task should have at least.
+SHARD_ROWS, SHARD_NUMBERS, QUERY_ROWS = 150_000, 10_000_000, 2_000
+#: Most groups that share a search, one bit each; how much more work it may be than searches of their own.
+MOST_GROUPS, MORE_WORK = 60, 1.5
 #: Most cells of a group: their pivots go to all tasks.
 MOST_CELLS = 2_048
 #: Distances in a tile, or numbers in a block of differences, and queries that meet tiles together.
@@ -117,6 +119,51 @@ def nearest(queries: np.ndarray, rows: Rows, k: int, p: int, reach: np.ndarray |
         yield first + np.nonzero(found)[0], best_row[found], best[found]
 
 
+def nearest_of_groups(queries: np.ndarray, rows: Rows, k: int, p: int, reach: np.ndarray, wanted: np.ndarray, member: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, query rows, rows of train, distances): the k nearest rows of each group that a query is in; ``wanted`` and ``member`` have a bit a group.
+
+    One list of the nearest rows of all groups serves all large ones; a query
+    whose list holds too few rows of a group is searched for in its rows alone,
+    and so are all for small groups.
+    """
+    n, own = len(rows.x), {}
+    sizes = {g: int((member >> g & 1).sum()) for g in range(MOST_GROUPS) if (wanted >> g & 1).any()}
+    large = [g for g, m in sizes.items() if m and 4 * m >= n]
+
+    def alone(g: int, who: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        if g not in own:
+            at = np.flatnonzero(member >> g & 1)
+            own[g] = at, Rows(rows.x[at], rows.ids[at])
+        at, few = own[g]
+        for query, near, dist in nearest(queries[who], few, k, p, reach[who]):
+            yield g, who[query], at[near], dist
+
+    for g in sizes.keys() - set(large):
+        if sizes[g]:
+            yield from alone(g, np.flatnonzero(wanted >> g & 1))
+    if not large:
+        return
+    share = min(sizes[g] for g in large) / n
+    most = min(n, int((k + 4 * np.sqrt(k * (1 - share))) / share) + 2)
+    asked = np.flatnonzero(wanted & sum(1 << g for g in large))
+    lacking: dict[int, list] = {g: [] for g in large}
+    for query, row, dist in nearest(queries[asked], rows, most, p, reach[asked]):
+        query = asked[query]
+        who, length = np.unique(query, return_counts=True)
+        cut = who[(length == most) & (most < n)]  # there may be more rows within reach
+        both = wanted[query] & member[row]
+        for g in large:
+            hit = np.flatnonzero(both >> g & 1)
+            place = np.arange(len(hit)) - np.searchsorted(query[hit], query[hit])
+            short = cut[(wanted[cut] >> g & 1 == 1) & (np.searchsorted(query[hit], cut, "right") - np.searchsorted(query[hit], cut) < min(k, sizes[g]))]
+            lacking[g].append(short)
+            hit = hit[(place < k) & ~np.isin(query[hit], short)]
+            yield g, query[hit], row[hit], dist[hit]
+    for g, short in lacking.items():
+        if sum(map(len, short)):
+            yield from alone(g, np.concatenate(short))
+
+
 def _merge(best: np.ndarray, best_row: np.ndarray, query: np.ndarray, row: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
     """Puts more rows of some queries among their k best, in order of distance and id."""
     k = best.shape[1]
@@ -179,7 +226,9 @@ def neighbours_by_norm(train: DataFrame, queries: DataFrame, k: int, ps: Sequenc
     """
     both = train.select(*by, F.lit(1).alias("_n")).unionByName(queries.select(*by, F.lit(0).alias("_n")))
     counted = both.groupBy(*by).agg(F.sum("_n").alias("_t"), F.sum(1 - F.col("_n")).alias("_q")).withColumn("_c", F.lit(0).cast("bigint")).collect()  # a row a group
-    cells = min(MOST_CELLS, -(-max((r["_t"] or 0 for r in counted), default=0) // SHARD_ROWS))
+    if by and (shared := _shared(train, queries, by, [r for r in counted if r["_t"] and r["_q"]])):
+        return _neighbours_shared(*shared, k, ps, by)
+    cells = _cells(train, max((r["_t"] or 0 for r in counted), default=0))
     if cells <= 1:
         place = F.lit(0).cast("bigint")
         found = _search(train.select(*by, "id", "features", "label").withColumn("_c", place), queries.select(*by, "id", "features").withColumn("_c", place).withColumn("_reach", F.array(*[F.lit(float("inf")) for _ in ps])), k, ps, by, [r for r in counted if r["_t"] and r["_q"]])
@@ -194,6 +243,54 @@ def neighbours_by_norm(train: DataFrame, queries: DataFrame, k: int, ps: Sequenc
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, "p", "query_id", "rank", "train_id", "label", "dist")
 
 
+def _cells(train: DataFrame, rows: int) -> int:
+    """The cells that so many rows are dealt into."""
+    return min(MOST_CELLS, -(-rows // _held(train)))
+
+
+def _held(train: DataFrame) -> int:
+    """Training rows that a task holds."""
+    first = train.select(F.size("features").alias("d")).first()
+    return min(SHARD_ROWS, max(1, SHARD_NUMBERS // max(1, first.d if first else 1)))
+
+
+def _shared(train: DataFrame, queries: DataFrame, by: Sequence[str], groups: list) -> tuple | None:
+    """Each row once with the groups it is in as bits ``_g`` (training rows, queries), their numbers, and (by…, _i) of the groups; None where groups hold other rows."""
+    work = sum(r["_t"] * r["_q"] for r in groups)
+    if not 1 < len(groups) <= MOST_GROUPS:
+        return None
+    n_train, n_queries = (df.select("id").distinct().count() for df in (train, queries))
+    if n_train * n_queries > MORE_WORK * work:
+        return None
+    schema = T.StructType([*[train.schema[c] for c in by], T.StructField("_i", T.IntegerType())])
+    index = train.sparkSession.createDataFrame([(*[r[c] for c in by], i) for i, r in enumerate(groups)], schema)
+    once = []
+    for df, columns in ((train, ["id", "features", "label"]), (queries, ["id", "features"])):
+        bits = df.join(F.broadcast(index), list(by)).groupBy(*columns).agg(F.expr("bit_or(shiftleft(1L, _i))").alias("_g"), F.count("*").alias("_n"))  # index: a row a group
+        once.append(written(bits, "knn-rows"))
+    check = [df.agg(F.count("*").alias("n"), F.max(F.col("_n") - F.bit_count("_g")).alias("again"), F.countDistinct("id").alias("ids")).first() for df in once]
+    if any(c.again for c in check) or check[1].n != check[1].ids or check[0].n * check[1].n > MORE_WORK * work:
+        return None  # a row twice in a group, or rows that differ under one id
+    return once[0].drop("_n"), once[1].drop("_n"), check[0].n, check[1].n, index
+
+
+def _neighbours_shared(train: DataFrame, queries: DataFrame, n_train: int, n_queries: int, index: DataFrame, k: int, ps: Sequence[int], by: Sequence[str]) -> DataFrame:
+    """As neighbours_by_norm, for groups that mostly hold the same rows, as folds do: distances are made once for all of them."""
+    order = Window.partitionBy("_i", "p", "query_id").orderBy("dist", "train_id")
+    cells = _cells(train, n_train)
+    if cells <= 1:
+        place = F.lit(0).cast("bigint")
+        found = _search(train.withColumn("_c", place), queries.withColumn("_c", place).withColumn("_reach", F.array(*[F.lit(float("inf")) for _ in ps])), k, ps, (), [{"_c": 0, "_t": n_train, "_q": n_queries}])
+    else:
+        placed, known = pivot_cells(train, cells, ps)
+        first = written(_search(placed, targets(queries, known, k, ps), k, ps, ()), "knn-first")
+        kth = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).groupBy("p", F.col("query_id").alias("id")).agg(F.max("dist").alias("dist"), F.count("*").alias("_n"))
+        kth = kth.join(queries.select("id", "_g"), "id").where(F.col("_n") == F.bit_count("_g")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("p", "dist"))).alias("_kth"))
+        found = first.unionByName(_search(placed, targets(queries.join(kth, ["id"], "left"), known, k, ps), k, ps, ()))
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.join(F.broadcast(index), "_i").select(*by, "p", "query_id", "rank", "train_id", "label", "dist")  # a row a group
+
+
 def pivot_cells(train: DataFrame, cells: int, ps: Sequence[int], by: Sequence[str] = ()) -> tuple[DataFrame, dict[tuple, Cells]]:
     """Training rows with their cell ``_c``, written once, and the cells of each group. Pivots are the ``cells`` rows of a group that come first by a hash."""
     order = (F.md5(F.concat_ws(":", F.lit("pivot"), F.col("id").cast("string"))), F.col("id"))
@@ -217,7 +314,7 @@ def pivot_cells(train: DataFrame, cells: int, ps: Sequence[int], by: Sequence[st
                     far[part] = np.column_stack([(gap**p).sum(axis=1) ** (1.0 / p) for p in ps])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), arrays(far)], names=[*batch.schema.names, "_c", "_far"])
 
-    rows = train.select(*by, "id", "features", "label")
+    rows = train.select(*by, "id", "features", "label", *_bits(train))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     placed = written(rows.mapInArrow(place, f"{fields}, _c bigint, _far array<double>"), "knn-cells")
     counts = placed.groupBy(*by, "_c").agg(F.count("*").alias("n"), *[F.max(F.col("_far")[i]).alias(f"r{i}") for i in range(len(ps))]).collect()
@@ -232,6 +329,11 @@ def pivot_cells(train: DataFrame, cells: int, ps: Sequence[int], by: Sequence[st
     return placed.drop("_far"), known
 
 
+def _bits(df: DataFrame) -> list[str]:
+    """The column of group bits, where there is one."""
+    return ["_g"] if "_g" in df.columns else []
+
+
 def _by_key(batch: pa.RecordBatch, by: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray]]:
     """The groups in a batch and their rows' places."""
     keys = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True)) if by else [()] * batch.num_rows
@@ -244,6 +346,7 @@ def _by_key(batch: pa.RecordBatch, by: Sequence[str]) -> Iterator[tuple[tuple, n
 
 def targets(queries: DataFrame, known: dict[tuple, Cells], k: int, ps: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
     """Each query once for every cell ``_c`` that it goes to: its homes, or with ``_kth`` (norm -> k-th distance found there) the others in reach. ``_reach``: by norm, the distance beyond which it wants no row."""
+    columns = [*by, "id", "features", *_bits(queries)]
     shared, again = queries.sparkSession.sparkContext.broadcast(known), "_kth" in queries.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,23 +366,27 @@ def targets(queries: DataFrame, known: dict[tuple, Cells], k: int, ps: Sequence[
                 else:
                     query, cell = np.nonzero(cells.homes(x[rows], ps, k))
                     wanted = np.full((len(rows), len(ps)), np.inf)
-                part = batch.select([*by, "id", "features"]).take(pa.array(rows[query]))
+                part = batch.select(columns).take(pa.array(rows[query]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int64)), arrays(wanted[query])], names=[*part.schema.names, "_c", "_reach"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.select(*by, "id", "features").schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.select(*columns).schema.fields)
     return queries.mapInArrow(run, f"{fields}, _c bigint, _reach array<double>")
 
 
 def _search(train: DataFrame, queries: DataFrame, k: int, ps: Sequence[int], by: Sequence[str], cells: list | None = None) -> DataFrame:
-    """(by…, p, query_id, train_id, label, dist): the k best of each part of a cell for the queries sent to that cell. cells: its rows (by…, _c, _t, _q), where known."""
-    spark = train.sparkSession
+    """(by…, p, query_id, train_id, label, dist): the k best of each part of a cell for the queries sent to that cell. cells: its rows (by…, _c, _t, _q), where known.
+
+    Where both have bits ``_g``, the k best of each group ``_i`` that a query is in.
+    """
+    spark, bits = train.sparkSession, _bits(train)
+    held_rows = _held(train)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if cells is None:
         cells = train.groupBy(*by, "_c").agg(F.count("*").alias("_t")).join(queries.groupBy(*by, "_c").agg(F.count("*").alias("_q")), [*by, "_c"]).collect()  # a row a cell
     work, grid, n_cells = sum(r["_t"] * r["_q"] for r in cells), [], 0
     for r in cells:
         # Queries are read in a stream, so their blocks are only as many as keep all tasks busy: each has a copy of the cell.
-        subs = -(-r["_t"] // SHARD_ROWS)
+        subs = -(-r["_t"] // held_rows)
         blocks = max(1, min(-(-r["_q"] // QUERY_ROWS), -(-parts * r["_t"] * r["_q"] // (work * subs))))
         grid.append((*[r[c] for c in by], r["_c"], subs, blocks, n_cells))
         n_cells += subs * blocks
@@ -288,14 +395,14 @@ def _search(train: DataFrame, queries: DataFrame, k: int, ps: Sequence[int], by:
     grid = F.broadcast(spark.createDataFrame(grid, T.StructType(fields)))  # a row a cell
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    left = train.select(*by, "id", "features", "label", "_c").join(grid, [*by, "_c"]).withColumn("_s", dealt("_subs")).withColumn("_b", every("_blocks")).withColumn("_kind", F.lit(0)).withColumn("_reach", F.lit(None).cast("array<double>"))
-    right = queries.select(*by, "id", "features", F.lit(0).alias("label"), "_c", "_reach").join(grid, [*by, "_c"]).withColumn("_b", dealt("_blocks")).withColumn("_s", every("_subs")).withColumn("_kind", F.lit(1))
+    left = train.select(*by, "id", "features", "label", "_c", *bits).join(grid, [*by, "_c"]).withColumn("_s", dealt("_subs")).withColumn("_b", every("_blocks")).withColumn("_kind", F.lit(0)).withColumn("_reach", F.lit(None).cast("array<double>"))
+    right = queries.select(*by, "id", "features", F.lit(0).alias("label"), "_c", "_reach", *bits).join(grid, [*by, "_c"]).withColumn("_b", dealt("_blocks")).withColumn("_s", every("_subs")).withColumn("_kind", F.lit(1))
     cell = F.col("_first") + F.col("_s") * F.col("_blocks") + F.col("_b")
     rows = left.unionByName(right).withColumn("_cell", cell).drop("_c", "_s", "_b", "_subs", "_blocks", "_first")
-    names = [*by, "p", "query_id", "train_id", "label", "dist"]
+    names = [*by, "p", "query_id", "train_id", "label", "dist"] + ["_i"] * bool(bits)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, known, labels = None, [], None, None
+        current, held, known, labels, member = None, [], None, None, None
         for batch in batches:
             cells, kinds = batch.column("_cell").to_pylist(), batch.column("_kind").to_pylist()
             at = 0
@@ -312,17 +419,23 @@ def _search(train: DataFrame, queries: DataFrame, k: int, ps: Sequence[int], by:
                     if known is None:
                         all_rows = pa.concat_tables(held)
                         known, labels = Rows(matrix(all_rows.column("features")), all_rows.column("id").to_numpy()), all_rows.column("label").to_numpy()
+                        member = all_rows.column("_g").to_numpy() if bits else None
                         held = [part.slice(0, 0)]  # the rows are held once
                         del all_rows
                     block = matrix(part.column("features"))
                     reach = matrix(part.column("_reach"))
                     for i, p in enumerate(ps):
-                        for query, near, dist in nearest(block, known, k, p, reach[:, i]):
+                        if bits:
+                            lists = nearest_of_groups(block, known, k, p, reach[:, i], part.column("_g").to_numpy(), member)
+                        else:
+                            lists = ((None, *found) for found in nearest(block, known, k, p, reach[:, i]))
+                        for group, query, near, dist in lists:
                             taken = part.select([*by, "id"]).take(pa.array(query))
-                            yield from pa.table([*[taken.column(c) for c in by], pa.array(np.full(len(query), p, dtype=np.int32)), taken.column("id"), pa.array(known.ids[near]), pa.array(labels[near]), pa.array(dist)], names=names).combine_chunks().to_batches()
+                            more = [pa.array(np.full(len(query), group, dtype=np.int32))] if bits else []
+                            yield from pa.table([*[taken.column(c) for c in by], pa.array(np.full(len(query), p, dtype=np.int32)), taken.column("id"), pa.array(known.ids[near]), pa.array(labels[near]), pa.array(dist), *more], names=names).combine_chunks().to_batches()
                 at = end
 
-    schema = T.StructType([*[train.schema[c] for c in by], T.StructField("p", T.IntegerType()), T.StructField("query_id", T.LongType()), T.StructField("train_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("dist", T.DoubleType())])
+    schema = T.StructType([*[train.schema[c] for c in by], T.StructField("p", T.IntegerType()), T.StructField("query_id", T.LongType()), T.StructField("train_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("dist", T.DoubleType()), *[T.StructField("_i", T.IntegerType()) for _ in bits]])
     return rows.repartitionById(tasks, F.pmod("_cell", F.lit(tasks)).cast("int")).sortWithinPartitions("_cell", "_kind").mapInArrow(search, schema)
 
 

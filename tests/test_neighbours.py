@@ -86,3 +86,34 @@ def test_a_search_is_small_in_memory():
         assert sum(len(d) for _, _, d in knn.nearest(queries, rows, 11, p)) == 512 * 11
     assert tracemalloc.get_traced_memory()[1] < 60e6
     tracemalloc.stop()
+
+
+@pytest.mark.parametrize("shard", [50_000, 60])
+def test_folds_share_a_search(spark, monkeypatch, shard):
+    """Each fold had its own copy of the rows, and a pair's distance was made in every fold anew."""
+    rows = clustered(spark, 400, 7, spread=2.0).withColumn("own", (F.col("id") % 4).cast("int")).withColumn("few", F.col("id") < 9)
+    folds = F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("fold")
+    train = rows.select("*", folds).where("if(fold = 4, few, own <> fold)").drop("own", "few")  # one fold of few rows
+    queries = rows.select("*", folds).where("fold = 4 or own = fold").select("id", "features", "fold")
+    searched, count = [], knn._search
+    monkeypatch.setattr(knn, "MORE_WORK", 0.0)
+    want = sorted(knn.neighbours_by_norm(train, queries, 11, (1, 2, 3), ["fold"]).collect())
+    monkeypatch.setattr(knn, "MORE_WORK", 9.0)
+    monkeypatch.setattr(knn, "SHARD_ROWS", shard)
+    monkeypatch.setattr(knn, "_search", lambda t, *a: searched.append(t.count()) or count(t, *a))
+    assert sorted(knn.neighbours_by_norm(train, queries, 11, (1, 2, 3), ["fold"]).collect()) == want
+    assert len(want) == 3 * (400 * 11 + 400 * 9) and set(searched) == {400}
+
+
+def test_short_lists_are_searched_again():
+    rng = np.random.default_rng(3)
+    x, queries, ids = rng.normal(0, 1, (900, 3)), rng.normal(0, 1, (70, 3)), rng.permutation(900)
+    member = np.where(x[:, 0] > 0, 1, 2) | np.where(rng.random(900) < 0.02, 4, 0)  # one half lies away from many queries, one group is small
+    wanted, reach = rng.integers(0, 16, 70), np.full(70, np.inf)
+    found = {}
+    for g, query, row, dist in knn.nearest_of_groups(queries, knn.Rows(x, ids), 9, 2, reach, wanted, member):
+        for q, r, d in zip(query, row, dist, strict=True):
+            found.setdefault((g, int(q)), []).append((d, ids[r]))
+    exact = knn.distances(queries, x, 2)
+    want = {(g, q): sorted(zip(exact[q][at], ids[at], strict=True))[:9] for g in range(3) for at in [np.flatnonzero(member >> g & 1)] for q in range(70) if wanted[q] >> g & 1}
+    assert found == want
