@@ -99,7 +99,7 @@ def test_folds_share_a_search(spark, monkeypatch, shard):
     monkeypatch.setattr(knn, "MORE_WORK", 0.0)
     want = sorted(knn.neighbours_by_norm(train, queries, 11, (1, 2, 3), ["fold"]).collect())
     monkeypatch.setattr(knn, "MORE_WORK", 9.0)
-    monkeypatch.setattr(knn, "SHARD_ROWS", shard)
+    monkeypatch.setattr(knn, "SHARED_ROWS", shard)
     monkeypatch.setattr(knn, "_search", lambda t, *a: searched.append(t.count()) or count(t, *a))
     assert sorted(knn.neighbours_by_norm(train, queries, 11, (1, 2, 3), ["fold"]).collect()) == want
     assert len(want) == 3 * (400 * 11 + 400 * 9) and set(searched) == {400}
@@ -117,3 +117,11 @@ def test_short_lists_are_searched_again():
     exact = knn.distances(queries, x, 2)
     want = {(g, q): sorted(zip(exact[q][at], ids[at], strict=True))[:9] for g in range(3) for at in [np.flatnonzero(member >> g & 1)] for q in range(70) if wanted[q] >> g & 1}
     assert found == want
+
+
+def test_lists_are_merged_a_few_times(monkeypatch):
+    """512 queries met tiles of 1,953 rows, so lists were put in order 26 times."""
+    rng, merged, merge = np.random.default_rng(4), [], knn._merge
+    monkeypatch.setattr(knn, "_merge", lambda *a: merged.append(1) or merge(*a))
+    rows, queries = knn.Rows(rng.normal(0, 1, (50_000, 4)), np.arange(50_000)), rng.normal(0, 1, (100, 4))
+    assert sum(len(d) for _, _, d in knn.nearest(queries, rows, 11, 2)) == 100 * 11 and len(merged) <= 8
