@@ -23,6 +23,8 @@ MOST_GROUPS, MORE_WORK = 60, 1.5
 MOST_CELLS = 2_048
 #: Distances in a tile, or numbers in a block of differences, and queries that meet tiles together.
 BLOCK_CELLS, QUERY_BLOCK = 1_000_000, 128
+#: Numbers of differences made together in single precision, so few that a core's cache holds them.
+CACHE_NUMBERS = 131_072
 
 
 def distances(queries: np.ndarray, train: np.ndarray, p: int) -> np.ndarray:
@@ -70,6 +72,21 @@ class Rows:
         total += own.astype(np.float32)[:, None]
         return total, 1e-6 * (8 + width) * reach**2
 
+    def within(self, block: np.ndarray, query: np.ndarray, row: np.ndarray, kth: np.ndarray, p: int) -> np.ndarray:
+        """Which pairs may be no farther than their query's ``kth``, by their differences in single precision; p is 2 at least."""
+        small, width = (block - self.middle).astype(np.float32), max(1, block.shape[1])
+        reach = np.sqrt((small.astype(np.float64) ** 2).sum(axis=1)) + self.largest
+        bars = (kth ** (1.0 / p) * (1 + 1e-6 * (1 + width / p)) + 1e-6 * reach) ** p
+        bars = np.nextafter(np.minimum(bars, np.finfo(np.float32).max).astype(np.float32), np.float32(np.inf))  # where sums overflow, all may be
+        out, step = np.empty(len(row), dtype=bool), max(1, CACHE_NUMBERS // width)
+        for at in range(0, len(row), step):
+            who = query[at : at + step]
+            gap = small.take(who, axis=0)
+            gap -= self.small.take(row[at : at + step], axis=0)
+            np.abs(gap, out=gap)
+            out[at : at + step] = ~(np.einsum("ij,ij->i", gap * gap, gap if p == 3 else gap ** (p - 2)) > bars[who])
+        return out
+
 
 def _bars(kth: np.ndarray, slack: np.ndarray, p: int, width: int) -> np.ndarray:
     """Below which values of Rows.least a row can be among the best, by the k-th distance so far."""
@@ -106,14 +123,20 @@ def nearest(queries: np.ndarray, rows: Rows, k: int, p: int, reach: np.ndarray |
             kth = np.minimum(best[:, -1], within)
             unknown = np.flatnonzero(~np.isfinite(kth))
             if len(unknown) and tile.stop - low >= k:  # a first k-th distance: the largest of the k roughly nearest rows here
-                near = np.argpartition(rough[unknown], k - 1, axis=1)[:, :k]
-                kth[unknown] = paired(np.repeat(block[unknown], k, axis=0), rows.x[low + near.ravel()], p).reshape(-1, k).max(axis=1)
+                m = k if p <= 2 else min(4 * k, tile.stop - low)  # of higher norms the nearest are among more rows
+                near = np.argpartition(rough[unknown], m - 1, axis=1)[:, :m]
+                kth[unknown] = np.partition(paired(np.repeat(block[unknown], m, axis=0), rows.x[low + near.ravel()], p).reshape(-1, m), k - 1, axis=1)[:, k - 1]
+                kth = np.minimum(kth, within)
             at = np.flatnonzero((rough <= np.nextafter(_bars(kth, slack, p, width).astype(np.float32), np.float32(np.inf))[:, None]).ravel())
             for part in np.array_split(at, max(1, len(at) * width // BLOCK_CELLS)):
                 query, row = np.divmod(part, tile.stop - low)
                 row += low
+                kth = np.minimum(kth, best[:, -1])
+                if p > 2:  # Euclidean distances leave too many
+                    near = rows.within(block, query, row, kth, p)
+                    query, row = query[near], row[near]
                 dist = paired(block[query], rows.x[row], p)
-                kept = dist <= np.minimum(best[:, -1], within)[query]
+                kept = dist <= kth[query]
                 _merge(best, best_row, query[kept], row[kept], dist[kept], rows.ids)
         found = best_row >= 0
         yield first + np.nonzero(found)[0], best_row[found], best[found]
@@ -193,7 +216,8 @@ class Cells:
 
     def bounds(self, queries: np.ndarray, i: int, p: int) -> tuple[np.ndarray, np.ndarray]:
         """Distances to the pivots, and what no row of a cell can be nearer than."""
-        far = np.concatenate([distances(queries[at : at + 64], self.pivots, p) for at in range(0, len(queries), 64)]) ** (1.0 / p) if len(queries) else np.zeros((0, len(self.pivots)))
+        step = max(1, BLOCK_CELLS // max(1, self.pivots.size))
+        far = np.concatenate([distances(queries[at : at + step], self.pivots, p) for at in range(0, len(queries), step)]) ** (1.0 / p) if len(queries) else np.zeros((0, len(self.pivots)))
         return far, np.maximum(far - self.radius[i], 0.0) * (1 - 1e-9) - 1e-12
 
     def homes(self, queries: np.ndarray, ps: Sequence[int], k: int) -> np.ndarray:

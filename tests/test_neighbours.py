@@ -125,3 +125,14 @@ def test_lists_are_merged_a_few_times(monkeypatch):
     monkeypatch.setattr(knn, "_merge", lambda *a: merged.append(1) or merge(*a))
     rows, queries = knn.Rows(rng.normal(0, 1, (50_000, 4)), np.arange(50_000)), rng.normal(0, 1, (100, 4))
     assert sum(len(d) for _, _, d in knn.nearest(queries, rows, 11, 2)) == 100 * 11 and len(merged) <= 8
+
+
+def test_few_pairs_are_measured_by_the_third_norm(monkeypatch):
+    """By their Euclidean distances alone one pair in twenty was measured in double precision."""
+    rng, measured, paired = np.random.default_rng(5), [], knn.paired
+    monkeypatch.setattr(knn, "paired", lambda queries, train, p: measured.append(len(train)) or paired(queries, train, p))
+    x, queries = rng.normal(0, 1, (20_000, 64)), rng.normal(0, 1, (40, 64))
+    query, near, dist = (np.concatenate(c) for c in zip(*knn.nearest(queries, knn.Rows(x, np.arange(20_000)), 5, 3), strict=True))
+    exact = np.concatenate([knn.distances(queries[i : i + 1], x, 3) for i in range(40)])
+    assert np.array_equal(near.reshape(40, 5), np.argsort(exact, axis=1, kind="stable")[:, :5]) and np.array_equal(dist, exact[query, near])
+    assert sum(measured) < 40 * 20_000 / 200
