@@ -378,20 +378,25 @@ def targets(queries: DataFrame, known: dict[tuple, Cells], k: int, ps: Sequence[
             if not batch.num_rows:
                 continue
             x = matrix(batch.column("features"))
-            for key, rows in _by_key(batch, by):
+            for key, places in _by_key(batch, by):
                 cells = shared.value.get(key)
                 if cells is None:
                     continue
-                if again:
-                    found = [dict(m or ()) for m in batch.column("_kth").take(pa.array(rows)).to_pylist()]
-                    reach = np.array([[f.get(p, np.inf) ** (1.0 / p) * (1 + 1e-9) for p in ps] for f in found])
-                    query, cell = np.nonzero(cells.others(x[rows], ps, k, reach))
-                    wanted = np.array([[f.get(p, np.inf) for p in ps] for f in found])
-                else:
-                    query, cell = np.nonzero(cells.homes(x[rows], ps, k))
-                    wanted = np.full((len(rows), len(ps)), np.inf)
-                part = batch.select(columns).take(pa.array(rows[query]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int64)), arrays(wanted[query])], names=[*part.schema.names, "_c", "_reach"])
+                # A query may go to all cells, so what is held and sent at once is bounded by cells and by numbers.
+                for rows in np.array_split(places, -(-len(places) * len(cells.pivots) // BLOCK_CELLS)):
+                    if again:
+                        found = [dict(m or ()) for m in batch.column("_kth").take(pa.array(rows)).to_pylist()]
+                        reach = np.array([[f.get(p, np.inf) ** (1.0 / p) * (1 + 1e-9) for p in ps] for f in found])
+                        query, cell = np.nonzero(cells.others(x[rows], ps, k, reach))
+                        wanted = np.array([[f.get(p, np.inf) for p in ps] for f in found])
+                    else:
+                        query, cell = np.nonzero(cells.homes(x[rows], ps, k))
+                        wanted = np.full((len(rows), len(ps)), np.inf)
+                    step = max(1, BLOCK_CELLS // max(1, x.shape[1]))
+                    for at in range(0, len(query), step):
+                        who = query[at : at + step]
+                        part = batch.select(columns).take(pa.array(rows[who]))
+                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell[at : at + step].astype(np.int64)), arrays(wanted[who])], names=[*part.schema.names, "_c", "_reach"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.select(*columns).schema.fields)
     return queries.mapInArrow(run, f"{fields}, _c bigint, _reach array<double>")

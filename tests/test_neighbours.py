@@ -136,3 +136,22 @@ def test_few_pairs_are_measured_by_the_third_norm(monkeypatch):
     exact = np.concatenate([knn.distances(queries[i : i + 1], x, 3) for i in range(40)])
     assert np.array_equal(near.reshape(40, 5), np.argsort(exact, axis=1, kind="stable")[:, :5]) and np.array_equal(dist, exact[query, near])
     assert sum(measured) < 40 * 20_000 / 200
+
+
+def test_copies_of_queries_are_made_in_pieces(spark, monkeypatch):
+    """A batch of queries was copied for all cells at once, so memory grew with the cells, which grow with the rows."""
+    import tracemalloc
+
+    rng, width = np.random.default_rng(6), 16
+    pivots = rng.normal(0, 1, (400, width))
+    known = {(): knn.Cells(pivots, np.full(400, 50_000), np.full((1, 400), 99.0))}
+    queries = spark.createDataFrame([(i, f.tolist(), {2: 1.0}) for i, f in enumerate(rng.normal(0, 1, (3_000, width)))], "id long, features array<double>, _kth map<int,double>")
+    batch = queries.toArrow().combine_chunks().to_batches()[0]
+    monkeypatch.setattr(type(queries), "mapInArrow", lambda self, run, schema: run)
+    tracemalloc.start()
+    sent, most = 0, 0
+    for part in knn.targets(queries, known, 5, (2,))(iter([batch])):
+        sent, most = sent + part.num_rows, max(most, part.num_rows * width)
+    assert sent == 3_000 * 399 and most <= knn.BLOCK_CELLS  # all cells but the home
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
