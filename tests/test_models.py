@@ -183,3 +183,20 @@ def test_commonest_setting_ties_go_to_the_first_chosen(spark):
     got = {r.model: r for r in selection.model_table(scores).collect()}
     assert got["m"].config == "2" and got["m"].is_best and not got["n"].is_best
     assert got["m"].variance == pytest.approx(0.01)
+
+
+def test_outer_folds_are_fitted_with_their_chosen_setting_only(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    label = rng.integers(0, 2, 120)
+    data = spark.createDataFrame([(i, (rng.normal(0, 1, 3) + label[i]).tolist(), int(label[i])) for i in range(120)], "id long, features array<double>, label int").persist()
+    family = selection.SVMFamily([{"kernel": "rbf", "c": 0.1}, {"kernel": "rbf", "c": 5.0}, {"kernel": "linear", "c": 1.0}])
+    chosen = {r.outer: r.config for r in selection.inner_search(data, family, 3, 2).where("is_best").collect()}
+    train, test = selection.fold_scenarios(selection.kfold(data, 3, out="_own"), 3, "_own", "outer")
+    want = {r.outer: r.accuracy for r in selection.scored(family.predict(train, test, ["outer"]), data, ["outer"]).collect() if chosen[r.outer] == r.config}
+    fits, plain = [], selection.svm.fit_pairs
+    monkeypatch.setattr(selection.svm, "fit_pairs", lambda df, configs, by: fits.append((tuple(by), configs.count(), df.select("outer").distinct().count(), {r.gamma for r in configs.collect()})) or plain(df, configs, by))
+    got = selection.nested_scores(data, [family], 3, 2).collect()
+    assert {r.outer: r.config for r in got} == chosen and all(abs(r.accuracy - want[r.outer]) < 1e-9 for r in got)
+    outer = [f for f in fits if f[0] == ("outer",)]
+    assert all(n == 1 for _, n, _, _ in outer) and sum(folds for _, _, folds, _ in outer) == 3
+    assert {g for *_, gs in outer for g in gs} == {selection.svm.gamma_of(train, "scale")}
